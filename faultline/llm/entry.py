@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from faultline.llm.bpe_codec import op4_bpe_codec
+from faultline.llm.near_dedup import op5_near_dedup
+from faultline.llm.quality_rules import op6_quality_rules
 from faultline.llm.token_counts import op3_token_counts
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_bpe_codec, op5_near_dedup, op6_quality_rules)}
 
 #: DuckDB SQL of those that SQL can express.
 ORACLES: dict[str, str] = {}
