@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from faultline.llm.bpe_codec import op4_bpe_codec
+from faultline.llm.decontamination import op7_decontamination
+from faultline.llm.language_id import op8_language_id
 from faultline.llm.near_dedup import op5_near_dedup
+from faultline.llm.quality_classifier import op1_quality_classifier
 from faultline.llm.quality_rules import op6_quality_rules
 from faultline.llm.token_counts import op3_token_counts
+from faultline.llm.warc import OP9_SQL, op9_warc
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_bpe_codec, op5_near_dedup, op6_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_token_counts, op4_bpe_codec, op5_near_dedup, op6_quality_rules, op7_decontamination, op8_language_id, op9_warc)}
 
 #: DuckDB SQL of those that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_warc": OP9_SQL}
