@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import slices, text_column
@@ -204,15 +204,15 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_column: str =
     return docs.select(id_column, text).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>, decoded string")
 
 
+def digests() -> list[Column]:
+    """n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 of what ``encode_and_decode`` returns."""
+    joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return [F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+
+
 def op4_bpe_codec(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     from faultline.llm.common import table
 
-    coded = encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", *digests())

@@ -17,7 +17,7 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def read_bytes(uri: str) -> bytes:
     store, path = open_store(uri)
-    with store.open_input_stream(path) as f:
+    with store.open_input_stream(path, compression=None) as f:
         return f.read()
 
 
@@ -26,7 +26,7 @@ def publish(uri: str, data: bytes) -> None:
     store, path = open_store(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
     held = f"{path}.{uuid.uuid4().hex}.tmp"
-    with store.open_output_stream(held) as f:
+    with store.open_output_stream(held, compression=None) as f:
         f.write(data)
     store.move(held, path)
 

@@ -97,7 +97,7 @@ class Roller:
             self.shard, self.number = shard, 0
         if self.out is None:
             name = f"part-{shard:06d}-{self.number:05d}.warc.gz"
-            self.out, self.number = self.store.open_output_stream(f"{self.base}/{self.folder}/{name}"), self.number + 1
+            self.out, self.number = self.store.open_output_stream(f"{self.base}/{self.folder}/{name}", compression=None), self.number + 1
             self.row = {"held": f"{self.folder}/{name}", "name": name, "records": 0, "bytes": 0}
         packed = gzip.compress(data, 6, mtime=0)
         self.out.write(packed)
@@ -208,7 +208,7 @@ OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, html, octet_length(encode(html)) AS payload_bytes, unhex(sha1(html))::BIT::VARCHAR AS bits, max(page_id) OVER (PARTITION BY html) AS head FROM p)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
-  list_aggregate(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT
     + 4 * substr(bits, 5 * i + 3, 1)::INT + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT)::INT, 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> head THEN head END AS refers_to
