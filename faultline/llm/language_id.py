@@ -142,7 +142,7 @@ def train(docs: DataFrame, allowed: Column, *, id_column: str = "doc_id", text:
             yield pa.record_batch([batch.column(0).take(pa.array([i for i, _ in found], pa.int64())), pa.array([x.astype(np.float16).tobytes() for _, x in found], pa.binary())], names=["_lang", "x"])
 
     texts = docs.where(allowed).select(F.col(id_column).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).join(F.broadcast(chosen), ["_id", "_lang"], "left_semi")
-    rows = sorted((r["_lang"], bytes(r.x)) for r in texts.select("_lang", "_text").mapInArrow(run, "_lang string, x binary").toLocalIterator())
+    rows = sorted((r["_lang"], bytes(r.x)) for r in texts.select("_lang", "_text").mapInArrow(run, "_lang string, x binary").collect())
     x = np.array([np.frombuffer(r[1], np.float16) for r in rows], np.float32).reshape(len(rows), DIMENSIONS)
     return Model.fit(x, np.array([r[0] for r in rows], object))
 

@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, *,
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
     kind = labels.schema[id_column].dataType.simpleString()
     found = texts.select("_id", F.col("_label").cast("double").alias("_label"), "_text").mapInArrow(run, f"_id {kind}, _label double, x binary")
-    rows = sorted(((str(r["_id"]), r["_label"], bytes(r.x)) for r in found.toLocalIterator() if r.x))
+    rows = sorted(((str(r["_id"]), r["_label"], bytes(r.x)) for r in found.collect() if r.x))
     bags = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for _, _, x in rows]
     bag = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(int)
     return Model.fit(np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32), bag, np.array([y for _, y, _ in rows], np.float32))

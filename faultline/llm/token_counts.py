@@ -104,15 +104,11 @@ def frequent(docs: DataFrame, text: str, size: int, most: int = 200_000) -> list
         if counts:
             yield pa.record_batch({"summary": pa.array([_summary(counts, size)], pa.binary())})
 
-    out = docs.select(text).mapInArrow(count, "summary binary")
-    parts = docs.rdd.getNumPartitions()
-    while parts > FAN_IN:
+    out, parts = docs.select(text).mapInArrow(count, "summary binary"), FAN_IN**2
+    while parts > 1:  # bounded summaries merge in rounds, whatever the number of tasks
         parts = -(-parts // FAN_IN)
-        out = out.coalesce(parts * FAN_IN).repartition(parts).mapInArrow(merge, "summary binary")
-    counts: Counter = Counter()
-    for row in out.toLocalIterator():
-        for token, n in pickle.loads(row.summary):
-            counts[token] += n
+        out = out.repartition(parts).mapInArrow(merge, "summary binary")
+    counts = dict(pickle.loads(row.summary)) if (row := out.first()) else {}
     return [t for t, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]]
 
 
