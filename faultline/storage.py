@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_ROOTS: dict[str, str] = {}
@@ -36,6 +36,12 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_seen(self, df: DataFrame, name: str, **what: Column) -> tuple[DataFrame, dict]:
+        """``save``, and aggregates of the rows observed on the way."""
+        seen = Observation()
+        saved = self.save(df.observe(seen, *(c.alias(k) for k, c in what.items())), name)
+        return saved, seen.get
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:
@@ -49,20 +55,16 @@ def components(scratch: Scratch, edges: DataFrame, label: str) -> DataFrame:
     Large-star and small-star turns alternate until the edges no longer change; each turn is aggregated before
     its shuffle, written to the shared folder and never gathered anywhere. Star-like input settles in two turns.
     """
-    now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-0")
-    turn, seen = 0, None
-    while True:
-        count, total = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if (count, total) == seen or not count:
-            break
-        seen = (count, total)
-        both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    marks = {"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    first = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    (now, state), turn, before = scratch.save_seen(first, f"{label}-0", **marks), 0, None
+    while state["n"] and state != before:
+        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        pairs = large.where("a <> b")
+        pairs = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         low = pairs.groupBy("a").agg(F.min("b").alias("m"))
         small = pairs.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(low.select("a", F.col("m").alias("b")))
-        now, old = scratch.save(small.distinct(), f"{label}-{turn + 1}"), turn
-        scratch.drop(f"{label}-{old}")
-        turn += 1
+        turn, before = turn + 1, state
+        now, state = scratch.save_seen(small.distinct(), f"{label}-{turn}", **marks)
+        scratch.drop(f"{label}-{turn - 1}")
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
