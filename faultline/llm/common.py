@@ -1,15 +1,14 @@
-"""What the training-data operators share: scratch tables, text slices, word hashing, component labelling."""
+"""What the training-data operators share: text slices and word hashing, beside scratch tables and component labelling of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from faultline.storage import Scratch, components  # noqa: F401  used through this module
 
 #: The word characters of every contract: all but space and \t \n \v \f \r.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -20,41 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_OWN_ROOTS: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN_ROOTS:
-            _OWN_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="faultline-")
-        root = _OWN_ROOTS[app]
-    return root.rstrip("/")
-
-
-class Scratch:
-    """Tables written under the shared folder: they cut lineage and outlive any executor.
-
-    ``save`` writes and rereads; ``drop`` removes what no later plan reads.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def salted(df: DataFrame) -> str:
     """A column name that no column of ``df`` has, for helpers beside a caller's own columns."""
     name = "_fl"
@@ -127,28 +91,3 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     np.cumsum(_BYTE[data] * _power("up", _BASE, len(data)), out=total[1:])
     raw = (total[ends] - total[starts]) * _power("down", _UNBASE, len(data) + 1)[starts]
     return mix(raw + (ends - starts).astype(np.uint64))
-
-
-def components(scratch: Scratch, edges: DataFrame, label: str) -> DataFrame:
-    """Connected components of ``edges`` (a long, b long): (node, component), component being the smallest node.
-
-    Large-star and small-star turns alternate until the edges no longer change; each turn is aggregated before
-    its shuffle, written to the shared folder and never gathered anywhere. Star-like input settles in two turns.
-    """
-    now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-0")
-    turn, seen = 0, None
-    while True:
-        count, total = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if (count, total) == seen or not count:
-            break
-        seen = (count, total)
-        both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        pairs = large.where("a <> b")
-        low = pairs.groupBy("a").agg(F.min("b").alias("m"))
-        small = pairs.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(low.select("a", F.col("m").alias("b")))
-        now, old = scratch.save(small.distinct(), f"{label}-{turn + 1}"), turn
-        scratch.drop(f"{label}-{old}")
-        turn += 1
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -5,7 +5,7 @@ similarity 0.85 into a common bucket but for about 7 in 10^9 pairs. In a bucket
 centre, not with all; members that end in another component than some other member get a next centre, and what is still
 divided after ``turns`` turns is compared pair by pair, so no link between components is lost. A candidate goes on to
 the full sets unless the estimate from its ``BITS``-bit signature, corrected for chance agreement, is ``SLACK`` below the
-threshold (seven standard deviations). Sets are 64-bit hashes of shingles; links are decided on them in full.
+threshold (five standard deviations). Sets are 64-bit hashes of shingles; links are decided on them in full.
 Components are labelled by star contraction on written tables; nothing is gathered to the driver but counts.
 
 Words are ``[^\x20\x09-\x0D]+`` of the text with A-Z lower-cased. Null, empty and blank texts have no shingles and link
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm.common import Scratch, components, mix, salted, slices, span_hashes, table, text_column, word_spans
 
-BANDS, ROWS, BITS, SLACK = 32, 5, 4, 0.2
+BANDS, ROWS, BITS, SLACK = 32, 5, 4, 0.15
 _PERMUTATIONS = BANDS * ROWS
 _RNG = np.random.Generator(np.random.PCG64(5))
 _A = _RNG.integers(0, 1 << 31, _PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -120,81 +120,87 @@ def _agreeing(x: str, y: str) -> str:
     return f"aggregate(zip_with({x}, {y}, (p, q) -> p ^ q), {_PERMUTATIONS}, (n, v) -> n - bit_count(({fold}) & {ones}L))"
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold: first by estimate, then in full."""
-    def side(of: DataFrame, k: str) -> DataFrame:
-        return of.select(*(F.col(c).alias(k if c == "node" else f"{c}_{k}") for c in of.columns))
-
+def _possible(percent: int, slack: float) -> str:
+    """SQL over a pair's sizes and signatures (suffixes _a and _b): whether their similarity may reach the threshold, by sizes and by the corrected estimate."""
     chance = 2.0**-BITS
-    low = nodes.select("node", "low", "n_shingles")
-    likely = (
-        pairs.join(side(low, "a"), "a")
-        .join(side(low, "b"), "b")
-        .where(f"100 * least(n_shingles_a, n_shingles_b) >= {percent} * greatest(n_shingles_a, n_shingles_b)")
-        .where(f"({_agreeing('low_a', 'low_b')} / {_PERMUTATIONS}D - {chance}) / (1 - {chance}) >= {percent / 100 - SLACK}D")
-        .select("a", "b")
+    return (
+        f"100 * least(n_shingles_a, n_shingles_b) >= {percent} * greatest(n_shingles_a, n_shingles_b)"
+        f" and ({_agreeing('low_a', 'low_b')} / {_PERMUTATIONS}D - {chance}) / (1 - {chance}) >= {percent / 100 - slack}D"
     )
+
+
+def _side(of: DataFrame, k: str) -> DataFrame:
+    return of.select(*(F.col(c).alias(k if c == "node" else f"{c}_{k}") for c in of.columns))
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int, slack: float) -> DataFrame:
+    """The pairs (a, b) that sizes and estimates leave."""
+    low = nodes.select("node", "low", "n_shingles")
+    return pairs.join(_side(low, "a"), "a").join(_side(low, "b"), "b").where(_possible(percent, slack)).select("a", "b")
+
+
+def _confirmed(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return (
-        likely.join(side(sets, "b"), "b")
-        .join(side(sets, "a"), "a")
+        likely.join(_side(sets, "b"), "b")
+        .join(_side(sets, "a"), "a")
         .select("a", "b", common.alias("c"), (F.size("shingles_a") + F.size("shingles_b")).alias("t"))
         .where(f"100 * c >= {percent} * (t - c)")
         .select("a", "b")
     )
 
 
-def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85, turns: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85, slack: float = SLACK, turns: int = 3) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (its component's smallest id) and kept."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
+    scratch = Scratch(docs.sparkSession, "near")
     marks = scratch.save(signatures(docs, id_column=id_column, text=text, width=width), "marks")
     named = marks.where("doc_id is not null and n_shingles > 0")
     # One node for each distinct set; its least id stands for it.
     nodes = scratch.save(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("low").alias("low")), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1")
-    buckets = scratch.save(rows.join(shared.select("bucket", "centre"), "bucket"), "buckets-0")
-    wanted = buckets.select("node").distinct()
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = scratch.save(rows.join(shared, "bucket"), "members")
+    # The member that shares buckets with most others is the likeliest source of a group of copies, so it is the centre.
+    fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
+    known = members.select("bucket", "node").join(fame, "node")
+    centres = known.groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("node")).alias("r"))).alias("c")).select("bucket", (-F.col("c.r")).alias("centre"))
+    buckets = scratch.save(known.join(centres, "bucket"), "buckets-0")
     whole = docs.select(F.col(id_column).cast("long").alias("node"), F.col(text).alias(text))
-    texts = whole.join(wanted, "node", "left_semi").groupBy("node").agg(F.first(text).alias(text)) if _repeats(marks) else whole.join(wanted, "node", "left_semi")
+    texts = whole.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first(text).alias(text))
     sets = scratch.save(full_sets(texts.select("node", text), text=text, width=width), "sets")
 
-    links = scratch.save(_confirmed(buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), nodes, sets, percent), "links-0")
+    star = buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    links = scratch.save(_confirmed(_likely(star, nodes, percent, slack), sets, percent), "links-0")
     found = components(scratch, links, "c0")
-    open_rows = buckets.where("node <> centre").select("bucket", "node")
+    open_rows = buckets.where("node <> centre").select("bucket", "node", "fame")
     for turn in range(1, turns + 1):
-        placed = open_rows.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
-        divided = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.min(F.struct("n", "first", "component")).alias("least")).where("parts > 1")
-        # The next centre comes from the smallest part, so a large part costs no turns.
-        now = scratch.save(
-            placed.join(divided.select("bucket", F.col("least.first").alias("centre"), F.col("least.component").alias("of")), "bucket"), f"buckets-{turn}"
-        )
+        placed = open_rows.join(found, "node", "left").select("bucket", "node", "fame", F.coalesce("component", "node").alias("component"))
+        parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("fame", (-F.col("node")).alias("r"))).alias("top"))
+        divided = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("top", "component")).alias("lead")).where("parts > 1")
+        now = scratch.save(placed.join(divided.select("bucket", (-F.col("lead.top.r")).alias("centre"), F.col("lead.component").alias("of")), "bucket"), f"buckets-{turn}")
         if now.isEmpty():
             break
         if turn == turns:
-            left, right = now.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca")), now.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
-            pairs = left.join(right, "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
+            # What is still divided meets pair by pair; sizes and estimates are part of the join, which makes likely pairs alone.
+            low = now.select("bucket", "node", "component").join(nodes.select("node", "low", "n_shingles"), "node")
+            a, b = low.select("bucket", *(F.col(c).alias(f"{c}_a") for c in low.columns[:1] + low.columns[2:])), low.select("bucket", *(F.col(c).alias(f"{c}_b") for c in low.columns[:1] + low.columns[2:]))
+            likely = a.join(b, (a.bucket == b.bucket) & F.expr(f"node_a < node_b and component_a <> component_b and {_possible(percent, slack)}")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
         else:
             pairs = now.where("component <> of").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-        more = scratch.save(_confirmed(pairs, nodes, sets, percent), f"links-{turn}")
+            likely = _likely(pairs, nodes, percent, slack)
+        more = scratch.save(_confirmed(likely, sets, percent), f"links-{turn}")
         if not more.isEmpty():
             links = links.unionAll(more)
             found = components(scratch, links, f"c{turn}")
-        open_rows = now.where("node <> centre").select("bucket", "node")
-    scratch.drop("sets", *(f"buckets-{k}" for k in range(turns + 1)))
+        open_rows = now.where("node <> centre").select("bucket", "node", "fame")
+    scratch.drop("sets", "members", *(f"buckets-{k}" for k in range(turns + 1)))
 
     member = nodes.select("s1", "s2", "node").join(found, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
     least = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return marks.select("doc_id", "n_shingles", "s1", "s2").join(member, ["s1", "s2"], "left").select("doc_id", "n_shingles", least.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
-def _repeats(marks: DataFrame) -> bool:
-    """Whether an id stands in more than one row."""
-    return not marks.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-
-
 def deduplicate(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` whose id stands for its component; rows without an id stay."""
     extra = salted(docs)
