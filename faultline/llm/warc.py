@@ -134,17 +134,25 @@ def write_archive(
     rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha1(F.col("payload").cast("binary"))})
     shard = _shards(rows.select("page_id", "size"), shard_bytes)
     heads = rows.select("digest", "page_id", "size").where(f"size >= {least_bytes}").groupBy("digest").agg(F.max("page_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1 and head is not null").select("digest", "head")
-    known = rows.join(heads, "digest", "left").withColumn("refers_to", F.expr(f"case when size >= {least_bytes} and not (page_id <=> head) then head end"))
+    # Payloads are shuffled once: the notes of what each revisit refers to travel beside them and sort before their record.
+    notes = rows.select("digest", "page_id", "size").join(heads, "digest").where(f"size >= {least_bytes} and not (page_id <=> head)").select("page_id", "digest", "head").distinct()
+    place = F.expr(shard).alias("shard")
+    noted = notes.select(place, "page_id", "digest", F.lit(0).alias("kind"), F.lit("").alias("url"), F.lit("").alias("payload"), F.col("head").alias("refers_to"))
+    full = rows.select(place, "page_id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers_to"))
     parts = max(1, pages.sparkSession.sparkContext.defaultParallelism, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = known.select(F.expr(shard).alias("shard"), "page_id", "url", "payload", "refers_to").repartition(parts, "shard").sortWithinPartitions("shard", "page_id", "url", "payload")
+    dealt = full.unionAll(noted).repartition(parts, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url", "payload")
     attempt = f"_held/{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = None
+        roller, note = None, None
         for batch in batches:
             done = []
             for k in range(batch.num_rows):
-                shard, page, link, body, refers = (c[k].as_py() for c in batch.columns)
+                shard, page, digest, kind, link, body, refers = (c[k].as_py() for c in batch.columns)
+                if kind == 0:
+                    note = ((page, digest), refers)
+                    continue
+                refers = note[1] if note and note[0] == (page, digest) else None
                 roller = roller or Roller(root, f"{attempt}/{uuid.uuid4().hex}", file_bytes)
                 done += roller.write(shard, record(page, link, body.encode(), refers, date))
             if done:
