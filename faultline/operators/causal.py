@@ -53,7 +53,7 @@ def outcomes(nodes: DataFrame, edges: DataFrame, cases: DataFrame) -> DataFrame:
     names = nodes.select(F.col("id").alias("target_id"), F.col("name").alias("_name"))
     said = edge_cases(edges.where("type = 'hasConsequence'"), accident_cases(nodes)).join(names, "target_id", "left")
     lists = F.array_join("evidence_texts", " ") if "evidence_texts" in edges.columns else F.lit(None).cast("string")
-    evidence = F.coalesce(F.nullif(lists, F.lit("")), F.concat_ws(" ", or_empty(F.col("evidence_text")), or_empty(F.col("_name"))))
+    evidence = F.coalesce(F.nullif(lists, F.lit("")), F.concat_ws(" ", or_empty(F.col("evidence_text")) if "evidence_text" in edges.columns else F.lit(""), or_empty(F.col("_name"))))
     through = said.select(F.col("of_case").alias("case_id"), is_severe(evidence).alias("y")).where("y = 1").join(cases.select("case_id"), "case_id", "left_semi")
     return own.unionByName(through).groupBy("case_id").agg(F.max("y").alias(OUTCOME))
 
