@@ -3,7 +3,8 @@ r"""Operator 5, near-duplicates by b-bit MinHash: bands of minima give candidate
 Each distinct shingle set is one node, so copies never meet in pairs. ``BANDS`` bands of ``ROWS`` minima put two sets of
 similarity 0.85 into a common bucket but for about 7 in 10^9 pairs. In a bucket every member is compared with one
 centre, not with all; members that end in another component than some other member get a next centre, and what is still
-divided after ``turns`` turns is compared pair by pair, so no link between components is lost. A candidate goes on to
+divided after ``turns`` turns is compared pair by pair, so no link between components is lost; there, members whose distances
+to their common centre differ by more than a link allows are no pair (the Jaccard distance is a metric). A candidate goes on to
 the full sets unless the estimate from its ``BITS``-bit signature, corrected for chance agreement, is ``SLACK`` below the
 threshold (five standard deviations). Sets are 64-bit hashes of shingles; links are decided on them in full.
 Components are labelled by star contraction on written tables; nothing is gathered to the driver but counts.
@@ -120,38 +121,39 @@ def _agreeing(x: str, y: str) -> str:
     return f"aggregate(zip_with({x}, {y}, (p, q) -> p ^ q), {_PERMUTATIONS}, (n, v) -> n - bit_count(({fold}) & {ones}L))"
 
 
-def _possible(percent: int, slack: float) -> str:
-    """SQL over a pair's sizes and signatures (suffixes _a and _b): whether their similarity may reach the threshold, by sizes and by the corrected estimate."""
+def _estimate() -> str:
+    """SQL: a pair's similarity by its signatures (low_a, low_b), corrected for chance agreement."""
     chance = 2.0**-BITS
-    return (
-        f"100 * least(n_shingles_a, n_shingles_b) >= {percent} * greatest(n_shingles_a, n_shingles_b)"
-        f" and ({_agreeing('low_a', 'low_b')} / {_PERMUTATIONS}D - {chance}) / (1 - {chance}) >= {percent / 100 - slack}D"
-    )
+    return f"({_agreeing('low_a', 'low_b')} / {_PERMUTATIONS}D - {chance}) / (1 - {chance})"
+
+
+def _possible(percent: int, slack: float) -> str:
+    """SQL over a pair's sizes and signatures (suffixes _a and _b): whether their similarity may reach the threshold."""
+    return f"100 * least(n_shingles_a, n_shingles_b) >= {percent} * greatest(n_shingles_a, n_shingles_b) and {_estimate()} >= {percent / 100 - slack}D"
 
 
 def _side(of: DataFrame, k: str) -> DataFrame:
     return of.select(*(F.col(c).alias(k if c == "node" else f"{c}_{k}") for c in of.columns))
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, percent: int, slack: float) -> DataFrame:
-    """The pairs (a, b) that sizes and estimates leave."""
+def _signed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the sizes and signatures of both."""
     low = nodes.select("node", "low", "n_shingles")
-    return pairs.join(_side(low, "a"), "a").join(_side(low, "b"), "b").where(_possible(percent, slack)).select("a", "b")
+    return pairs.join(_side(low, "a"), "a").join(_side(low, "b"), "b")
 
 
-def _confirmed(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+def _measured(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, distance, link) of pairs, from their full sets: the Jaccard distance and whether the threshold is reached."""
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return (
         likely.join(_side(sets, "b"), "b")
         .join(_side(sets, "a"), "a")
         .select("a", "b", common.alias("c"), (F.size("shingles_a") + F.size("shingles_b")).alias("t"))
-        .where(f"100 * c >= {percent} * (t - c)")
-        .select("a", "b")
+        .select("a", "b", F.expr("1 - c / (t - c)").alias("distance"), F.expr(f"100 * c >= {percent} * (t - c)").alias("link"))
     )
 
 
-def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85, slack: float = SLACK, turns: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85, slack: float = SLACK, turns: int = 2) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (its component's smallest id) and kept."""
     scratch = Scratch(docs.sparkSession, "near")
     marks = scratch.save(signatures(docs, id_column=id_column, text=text, width=width), "marks")
@@ -170,30 +172,40 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text: str = "
     texts = whole.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first(text).alias(text))
     sets = scratch.save(full_sets(texts.select("node", text), text=text, width=width), "sets")
 
-    star = buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = scratch.save(_confirmed(_likely(star, nodes, percent, slack), sets, percent), "links-0")
+    star = _signed(buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), nodes)
+    seen = scratch.save(star.select("a", "b", F.expr(_estimate()).alias("estimate"), F.expr(_possible(percent, slack)).alias("possible")), "seen")
+    near = scratch.save(_measured(seen.where("possible").select("a", "b"), sets, percent), "near")
+    links = near.where("link").select("a", "b")
+    # How far each member is from its bucket's centre: known for likely pairs, bounded by the estimate for others.
+    far = seen.where("not possible").select("a", "b", F.expr(f"greatest(0D, 1 - estimate - {slack}D)").alias("lo"), F.lit(1.0).alias("hi"))
+    reach = near.select("a", "b", F.col("distance").alias("lo"), F.col("distance").alias("hi")).unionAll(far)
     found = components(scratch, links, "c0")
-    open_rows = buckets.where("node <> centre").select("bucket", "node", "fame")
+    open_rows = buckets.where("node <> centre").select("bucket", "node", "fame", F.col("centre").alias("pivot"))
     for turn in range(1, turns + 1):
-        placed = open_rows.join(found, "node", "left").select("bucket", "node", "fame", F.coalesce("component", "node").alias("component"))
+        placed = open_rows.join(found, "node", "left").select("bucket", "node", "fame", "pivot", F.coalesce("component", "node").alias("component"))
         parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("fame", (-F.col("node")).alias("r"))).alias("top"))
         divided = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("top", "component")).alias("lead")).where("parts > 1")
         now = scratch.save(placed.join(divided.select("bucket", (-F.col("lead.top.r")).alias("centre"), F.col("lead.component").alias("of")), "bucket"), f"buckets-{turn}")
         if now.isEmpty():
             break
         if turn == turns:
-            # What is still divided meets pair by pair; sizes and estimates are part of the join, which makes likely pairs alone.
-            low = now.select("bucket", "node", "component").join(nodes.select("node", "low", "n_shingles"), "node")
-            a, b = low.select("bucket", *(F.col(c).alias(f"{c}_a") for c in low.columns[:1] + low.columns[2:])), low.select("bucket", *(F.col(c).alias(f"{c}_b") for c in low.columns[:1] + low.columns[2:]))
-            likely = a.join(b, (a.bucket == b.bucket) & F.expr(f"node_a < node_b and component_a <> component_b and {_possible(percent, slack)}")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+            # What is still divided meets pair by pair. Sizes, estimates and the triangle inequality over the common pivot are
+            # part of the join, which makes possible pairs alone.
+            held = now.select("bucket", "node", "component", "pivot").join(nodes.select("node", "low", "n_shingles"), "node")
+            held = held.join(reach.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "lo", "hi"), ["pivot", "node"], "left").drop("pivot")
+            a, b = (held.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in held.columns if c != "bucket")) for k in "ab")
+            wide = 1 - percent / 100 + 1e-9
+            apart = f"coalesce(lo_a - hi_b > {wide!r}D or lo_b - hi_a > {wide!r}D, false)"
+            test = F.expr(f"node_a < node_b and component_a <> component_b and not {apart} and {_possible(percent, slack)}")
+            likely = a.join(b, (a.bucket == b.bucket) & test).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
         else:
             pairs = now.where("component <> of").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-            likely = _likely(pairs, nodes, percent, slack)
-        more = scratch.save(_confirmed(likely, sets, percent), f"links-{turn}")
+            likely = _signed(pairs, nodes).where(_possible(percent, slack)).select("a", "b")
+        more = scratch.save(_measured(likely, sets, percent).where("link").select("a", "b"), f"links-{turn}")
         if not more.isEmpty():
             links = links.unionAll(more)
             found = components(scratch, links, f"c{turn}")
-        open_rows = now.where("node <> centre").select("bucket", "node", "fame")
+        open_rows = now.where("node <> centre").select("bucket", "node", "fame", "pivot")
     scratch.drop("sets", "members", *(f"buckets-{k}" for k in range(turns + 1)))
 
     member = nodes.select("s1", "s2", "node").join(found, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
