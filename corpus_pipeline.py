@@ -24,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those whose language is not certain enough."""
-    return language_id.certain(docs, language_id.train(docs, ~language_id.held_out("doc_id")))
+    return language_id.certain(docs, language_id.train(docs, ~language_id.held_out("doc_id"), calibrated=True))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

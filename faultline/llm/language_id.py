@@ -6,7 +6,10 @@ separates its languages. Both are trained on the driver from ``per_language`` la
 where there are over ``most_texts / per_language`` languages; prediction streams whole texts past the broadcast weights
 (their size is bounded by the number of languages). Nothing is shuffled but ids and labels for the choice of the sample.
 
-``score`` is the probability of the family times that of the language in it, each from its votes' mean margin.
+``score`` is the probability of the family times that of the language in it, each from its votes' mean margin. The winner
+of a set has hardly less than 0.5, whatever the text, so ``certain`` asks for a floor under the lesser of the two, learned by
+``calibrate`` from texts that the judging machines have not seen. It tells what lies between the learned languages: a text of
+another language that is close to one of them can pass, and with one learned language alone every text with a letter does.
 A null text or one without a letter is ``und`` with score 0; so is every text if there is nothing to learn from. Null
 labels teach nothing. A language that ``FAMILIES`` does not list is a family of its own. Ties go to the first language
 in alphabetic order; repeated rows get equal results; empty tables give no rows; extra columns are not read.
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -110,6 +114,7 @@ class Duels:
 class Model:
     family: Duels | None
     within: dict[str, Duels]
+    floor: float | None = None
 
     @staticmethod
     def fit(x: np.ndarray, languages: np.ndarray) -> Model:
@@ -118,17 +123,47 @@ class Model:
         families = np.array([FAMILIES.get(v, f"own {v}") for v in languages.tolist()])
         return Model(Duels.fit(x, families), {f: Duels.fit(x[families == f], languages[families == f]) for f in sorted(set(families.tolist()))})
 
+    def parts(self, x: np.ndarray) -> tuple[str, float, float]:
+        """The language, the probability of its family and its own in the family."""
+        family, p = self.family.decide(x)
+        language, q = self.within[family].decide(x)
+        return language, p, q
+
     def predict(self, text: str | None) -> tuple[str, float]:
         if text is None or self.family is None or not has_letter(text):
             return "und", 0.0
-        x = next(features([text]))
-        family, p = self.family.decide(x)
-        language, q = self.within[family].decide(x)
+        language, p, q = self.parts(next(features([text])))
         return language, p * q
 
-
-def train(docs: DataFrame, allowed: Column, *, id_column: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 600, most_texts: int = 4_000) -> Model:
-    """A model from the labelled rows that ``allowed`` admits: of each language those with the least hash of their id."""
+    def weakest(self, text: str | None) -> float | None:
+        """The lesser of the two probabilities; None for ``und``."""
+        if text is None or self.family is None or not has_letter(text):
+            return None
+        return min(self.parts(next(features([text])))[1:])
+
+
+def calibrate(x: np.ndarray, languages: np.ndarray) -> float:
+    """The probability at half the margin that 99 of 100 texts reach whose language is told rightly by a model of the other fold.
+
+    Equal texts share a fold. 0 if no such text is there.
+    """
+    fold = np.array([zlib.crc32(v.astype(np.float16).tobytes()) & 1 for v in x], np.int64)
+    found = []
+    for k in (0, 1):
+        own = Model.fit(x[fold == k], languages[fold == k])
+        if own.family is not None:
+            said = zip(languages[fold != k].tolist(), map(own.parts, x[fold != k]))
+            found += [min(p, q) for truth, (name, p, q) in said if name == truth]
+    if not found:
+        return 0.0
+    # A probability is 1 / (1 + exp(-4 * margin)), so half the margin is the square root of the odds.
+    least = min(float(np.quantile(found, 0.01)), 1 - 1e-12)
+    odds = (least / (1 - least)) ** 0.5
+    return odds / (1 + odds)
+
+
+def train(docs: DataFrame, allowed: Column, *, id_column: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 600, most_texts: int = 4_000, calibrated: bool = False) -> Model:
+    """A model from the labelled rows that ``allowed`` admits: of each language those with the least hash of their id. With ``calibrated``, it has the floor that ``certain`` needs."""
     known = docs.where(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id_column).isNotNull())
     ids = known.select(F.col(id_column).alias("_id"), F.col(lang).alias("_lang"))
     kinds = ids.agg(F.approx_count_distinct("_lang")).first()[0]
@@ -144,7 +179,11 @@ def train(docs: DataFrame, allowed: Column, *, id_column: str = "doc_id", text:
     texts = docs.where(allowed).select(F.col(id_column).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).join(F.broadcast(chosen), ["_id", "_lang"], "left_semi")
     rows = sorted((r["_lang"], bytes(r.x)) for r in texts.select("_lang", "_text").mapInArrow(run, "_lang string, x binary").collect())
     x = np.array([np.frombuffer(r[1], np.float16) for r in rows], np.float32).reshape(len(rows), DIMENSIONS)
-    return Model.fit(x, np.array([r[0] for r in rows], object))
+    languages = np.array([r[0] for r in rows], object)
+    model = Model.fit(x, languages)
+    if calibrated:
+        model.floor = calibrate(x, languages)
+    return model
 
 
 def identify(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -163,15 +202,18 @@ def identify(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text:
     return docs.select(*(f"`{c}`" for c in columns), F.col(text)).mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
-def certain(docs: DataFrame, model: Model, *, text: str = "text", least: float = 0.25) -> DataFrame:
-    """The rows of ``docs`` in some learned language, at ``least`` that certain; texts without a letter go. Decided by row, so nothing is shuffled."""
+def certain(docs: DataFrame, model: Model, *, text: str = "text", least: float | None = None) -> DataFrame:
+    """The rows of ``docs`` in some learned language, both family and language at ``least`` that certain (the model's floor by default); texts without a letter go. Decided by row, so nothing is shuffled."""
+    least = model.floor if least is None else least
+    if least is None:
+        raise ValueError("the model has no floor; train it with calibrated=True")
     shared, extra, schema = docs.sparkSession.sparkContext.broadcast(model), salted(docs), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            said = [own.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            kept = pa.array([s[0] != "und" and s[1] >= least for s in said], pa.bool_())
+            said = [own.weakest(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            kept = pa.array([s is not None and s >= least for s in said], pa.bool_())
             yield batch.select(range(batch.num_columns - 1)).filter(kept)
 
     return docs.withColumn(extra, F.col(text)).mapInArrow(run, schema)

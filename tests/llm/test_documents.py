@@ -138,6 +138,26 @@ def test_language(spark):
     assert language_id.identify(frame(spark, ODD), none).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_floor(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(docs, ~language_id.held_out("doc_id"), calibrated=True)
+    held = [r.text for r in docs.where(language_id.held_out("doc_id")).collect() if len((r.text or "").split()) >= 50]
+    rnd = random.Random(7)
+    say = lambda letters: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(2, 9))) for _ in range(120))
+    strange = [say(a) for a in ("abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "0123456789abcdef", "0123456789x", "абвгдежзийклмнопрсту") for _ in range(4)]
+    strange += [
+        "Вчера вечером мы пошли к реке, где было очень тихо и спокойно. Старый рыбак рассказывал нам о своих путешествиях. " * 3,
+        "Wczoraj wieczorem poszliśmy nad rzekę, gdzie było bardzo cicho. Stary rybak opowiadał nam o swoich podróżach. " * 3,
+        "Eilen illalla menimme joelle, jossa oli hyvin hiljaista. Vanha kalastaja kertoi meille matkoistaan ja kutsui kaikki teelle. " * 3,
+        "Dün akşam çok sessiz ve sakin olan nehre gittik. Yaşlı balıkçı bize yolculuklarını anlattı ve herkesi çaya davet etti. " * 3,
+        "昨天晚上我们去了河边，那里非常安静。老渔夫给我们讲了他的旅行故事。" * 3,
+    ]
+    kept = {r.doc_id for r in language_id.certain(frame(spark, held + strange), model).collect()}
+    assert len(kept & set(range(len(held)))) >= 0.99 * len(held) and not kept & set(range(len(held), len(held) + len(strange)))
+    with pytest.raises(ValueError):
+        language_id.certain(docs, language_id.train(docs.limit(0), F.lit(True)))
+
+
 def test_quality_classifier(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     model = quality_classifier.train(docs, labels, ~quality_classifier.held_out("_id"))
