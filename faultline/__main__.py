@@ -19,12 +19,12 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--source", action="append", default=[])
     parser.add_argument("--limit", type=int)
     parser.add_argument("--restart", action="store_true", help="forget earlier extraction results")
-    parser.add_argument("--dry-run", action="store_true", help="answer questions without a service")
+    parser.add_argument("--dry-run", action="store_true", help="answer questions and fuse names without a service")
     parser.add_argument("--progress-output")
     said = parser.parse_args(argv)
     settings, spark = load_settings(said.config), local_session()
     connect = DryRun if said.dry_run else (lambda service=settings.service: HttpService(service))
-    run = Run(spark, settings, said.root, said.source, connect, said.limit, said.progress_output)
+    run = Run(spark, settings, said.root, said.source, connect, said.limit, said.progress_output, None if said.dry_run else connect)
     if said.stage == "progress":
         print(f"{run.load('results').count() if run.has('results') else 0} of {run.load('cases').count()} cases have results")
         return 0

@@ -159,13 +159,27 @@ def _fold(rows: list[dict], how: Fusion) -> list[tuple]:
     return out
 
 
+def _label(entities: DataFrame) -> Column:
+    return F.coalesce(first_filled(*(F.col(c) for c in ("entity_type", "label") if c in entities.columns)), F.lit("KGNode"))
+
+
+def _norm_in(entities: DataFrame) -> Column:
+    return first_filled(*(F.col(c) for c in ("normalized_name", "name") if c in entities.columns))
+
+
+def mention_names(entities: DataFrame) -> DataFrame:
+    """(text) the distinct names whose vectors ``fuse`` reads: normalized once as a mention, twice as a canonical row."""
+    rows = entities.select(_label(entities).alias("label"), _norm_in(entities).alias("norm_in")).where("label <> 'AccidentCase'")
+    once = normalize_name(F.col("norm_in"), F.col("label"))
+    return rows.select(F.explode(F.array(once, normalize_name(once, F.col("label")))).alias("text")).where("coalesce(text, '') <> ''").distinct()
+
+
 def fuse(entities: DataFrame, how: Fusion = Fusion(), vectors: DataFrame | None = None) -> DataFrame:
     """Alignment rows by the exact ordered fold, one group a label (one for all where types may mix).
 
     A label's distinct names bound a task's work, since the fold depends on what came before; ``fuse_sets`` is the way without an order. Accident cases keep their own identity.
     """
-    label = F.coalesce(first_filled(*(F.col(c) for c in ("entity_type", "label") if c in entities.columns)), F.lit("KGNode"))
-    rows = entities.select("id", label.alias("label"), "name", first_filled(*(F.col(c) for c in ("normalized_name", "name") if c in entities.columns)).alias("norm_in"), *(c for c in ("case_id", "source_cases") if c in entities.columns), "seq")
+    rows = entities.select("id", _label(entities).alias("label"), "name", _norm_in(entities).alias("norm_in"), *(c for c in ("case_id", "source_cases") if c in entities.columns), "seq")
     case_key = F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in ("case_id",) if c in rows.columns), *(F.get("source_cases", F.lit(0)) for _ in range("source_cases" in rows.columns)), F.col("id"))
     kept_id = F.concat(F.lit("AccidentCase:canonical:"), stable_id(F.lit("AccidentCase"), case_key))
     cases = rows.where("label = 'AccidentCase'").select(

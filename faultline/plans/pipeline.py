@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +36,7 @@ class Run:
     connect: Callable = None
     limit: int | None = None
     progress_path: str | None = None
+    embed: Callable = None
 
     def save(self, df: DataFrame, name: str, mode: str = "overwrite") -> DataFrame:
         df.write.mode(mode).parquet(f"{self.root}/{name}")
@@ -87,13 +88,29 @@ def build(run: Run) -> None:
     run.save(edges, "triples")
 
 
+def embeddings(run: Run, entities: DataFrame) -> DataFrame | None:
+    """Vectors of all names to fuse; only those that the cache below ``root`` lacks are asked for. None if embeddings are off, on a dry run or without a service."""
+    if not run.settings.fusion.use_embeddings or run.embed is None:
+        return None
+    try:
+        run.embed()
+    except RuntimeError:  # no key or address: as in the reference, strings decide and the report says so
+        return None
+    cached = lambda: run.spark.read.schema("text string, embedding array<double>").parquet(f"{run.root}/embedding_cache")
+    known = cached() if run.has("embedding_cache") else run.spark.createDataFrame([], "text string, embedding array<double>")
+    fusion.embed_missing(fusion.mention_names(entities), known, run.embed).write.mode("append").parquet(f"{run.root}/embedding_cache")
+    return cached()
+
+
 def fuse(run: Run) -> None:
     entities, triples = run.load("entities"), run.load("triples")
-    alignment = run.save(fusion.fuse(entities, run.settings.fusion), "alignment")
+    vectors = embeddings(run, entities)
+    how = replace(run.settings.fusion, use_embeddings=vectors is not None)
+    alignment = run.save(fusion.fuse(entities, how, vectors), "alignment")
     merged = run.save(fusion.canonical_entities(entities, alignment), "canonical_entities")
     joined = run.save(graph.merge_relationships(graph.remap(triples, alignment)), "canonical_triples")
     found = run.save(fusion.conflicts(entities, alignment), "conflicts")
-    report = fusion.fusion_report(entities, triples, merged, joined, found, run.settings.fusion)
+    report = fusion.fusion_report(entities, triples, merged, joined, found, how)
     run.spark.createDataFrame([(json.dumps(report),)], "report string").write.mode("overwrite").text(f"{run.root}/fusion_report")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from faultline import vocabulary as v
 from faultline.operators import causal, cases, extraction, fusion, graph, privacy, votes
-from faultline.plans.pipeline import Run, run_stages
+from faultline.plans.pipeline import STAGES, Run, run_stages
 from faultline.settings import Causal, Extraction, Fusion, Settings, load_settings
 from faultline.sources import documents, jsonl
 from faultline.sources import graph as sinks
@@ -254,6 +254,36 @@ def test_whole_experiment(spark, tmp_path):
     assert run.load("results").count() == before == 2
 
 
+def test_fuse_stage_embeds(spark, tmp_path):
+    class Meanings:
+        known = {"高处坠落": [1.0, 0.0], "高空坠落": [1.0, 0.0], "未系安全带": [1.0, 0.0], "未戴安全带": [0.0, 1.0]}
+
+        def embed(self, texts):
+            return [self.known[t] for t in texts]
+
+    class Silent:
+        def embed(self, texts):
+            raise AssertionError(texts)
+
+    names = ["高处坠落", "高空坠落", "未系安全带", "未戴安全带"]
+    rows = [(f"id{k}", k, n, "UnsafeAction", n, f"case{k}", False) for k, n in enumerate(names)] + [("id9", 9, "事故", "AccidentCase", "事故", "case9", False)]
+    run = Run(spark, Settings(), f"{tmp_path}/out", embed=Meanings)
+    run.save(spark.createDataFrame(rows, "id string, seq long, name string, label string, normalized_name string, case_id string, needs_review boolean"), "entities")
+    run.save(spark.createDataFrame([("id0", "leadTo", "id1", 1)], "source_id string, type string, target_id string, seq long"), "triples")
+    fused = [s for s in STAGES if s[0] == "fuse"]
+
+    def said():
+        run_stages(run, fused)
+        status = {r.source_entity_id: r.alignment_status for r in run.load("alignment").collect()}
+        return [status[f"id{k}"] for k in (1, 3)], json.loads(spark.read.text(f"{run.root}/fusion_report").first()[0])["use_embeddings"]
+
+    assert said() == (["matched", "nil_low_score"], True)
+    run.embed = Silent  # all names are in the cache
+    assert said() == (["matched", "nil_low_score"], True) and run.load("embedding_cache").count() == 4
+    for run.embed in (None, lambda: HttpService(Settings().service)):
+        assert said() == (["review_low_margin", "matched"], False)
+
+
 def test_settings(tmp_path):
     (tmp_path / "c.yaml").write_text("fusion:\n  nil_threshold: 0.5\nservice:\n  model: m\n")
     s = load_settings(tmp_path / "c.yaml", {"LLM_MODEL": "z", "NEO4J_URI": "bolt://x"})
