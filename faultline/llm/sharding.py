@@ -53,9 +53,12 @@ class ShardStore:
         folder, extra = f"data/{uuid.uuid4().hex}", salted(rows)
         # A name that readers do not take for a partition column.
         rows.withColumn(extra, arrivals).write.partitionBy(extra).option("compression", "zstd").parquet(f"{self.root}/{folder}")
-        listed, versions = self._listed(folder), []
+        listed, versions, empty = self._listed(folder), [], []
+        if not listed:  # no rows make no partition and so no file; one empty shard keeps the columns
+            rows.limit(0).write.option("compression", "zstd").parquet(f"{self.root}/{folder}/empty")
+            empty = self._listed(f"{folder}/empty")
         for k in range(count):
-            versions.append(self._commit(self.shards() + [s for s in listed if f"/{extra}={k}/" in s["path"]], "append"))
+            versions.append(self._commit(self.shards() + (empty if k == 0 else []) + [s for s in listed if f"/{extra}={k}/" in s["path"]], "append"))
         return versions
 
     def tier(self, size: int) -> int:

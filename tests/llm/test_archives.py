@@ -49,6 +49,20 @@ def test_shards(spark, tmp_path):
         store.manifests.commit(2, {})
 
 
+def test_empty_arrivals(spark, tmp_path):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", fan_in=3)
+    assert store.append_each(none, F.lit(0), 2) == [1, 2] and store.read().columns == ["doc_id", "text"] and store.read().count() == 0
+    for _ in range(3):
+        store.append(none)
+    assert store.compact() > 5 and len(store.shards()) < 3 and store.read().columns == ["doc_id", "text"] and store.read().count() == 0
+    store.append_each(none.union(spark.createDataFrame([(1, "x")], none.schema)), F.lit(1), 2)
+    assert [tuple(r) for r in store.read().collect()] == [(1, "x")]
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    found = sharding.op10_sharding(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "n_bytes", "text_sha256"] and found.count() == 0
+
+
 def test_commits_can_be_repeated(tmp_path):
     root = f"file://{tmp_path}"
     files.publish(f"{root}/h/a", b"1")
