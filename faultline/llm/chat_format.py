@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -73,6 +74,17 @@ def engine(path: str) -> Engine:
     return _ENGINES[path]
 
 
+def in_order(own: Engine, turns: list[tuple[int | None, str, list[int], list[int]]]) -> list[tuple[str, list[int], list[int]]]:
+    """Turns (turn, role, its ids, its text's ids) sorted by turn and role, without the turn and with ties in the order of their texts."""
+    out = []
+    for _, same in itertools.groupby(turns, key=lambda t: t[:2]):
+        tied = list(same)
+        if len(tied) > 1:
+            tied.sort(key=lambda t: unescape(own.decode(t[3])))
+        out += [t[1:] for t in tied]
+    return out
+
+
 def assemble(own: Engine, turns: list[tuple[str, list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
     """Ids and loss mask of turns (role, its ids, its text's ids)."""
     parts, marks, at = [], [], 0
@@ -123,22 +135,22 @@ def format_chats(turns: DataFrame, ranks_path: str, *, conv_id: str = "conv_id",
             return rows
 
         for batch in batches:
-            for key, _, name, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, at, name, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and key != last:
-                    done.append((last, len(held), *assemble(own, held)))
+                    done.append((last, len(held), *assemble(own, in_order(own, held))))
                     held = []
                     if len(done) >= 500:
                         yield out()
                 last = key
-                held.append((name, own.encode(escape_role(name)), np.frombuffer(packed, own.kind).tolist()))
+                held.append((at, name, own.encode(escape_role(name)), np.frombuffer(packed, own.kind).tolist()))
         if held:
-            done.append((last, len(held), *assemble(own, held)))
+            done.append((last, len(held), *assemble(own, in_order(own, held))))
         if done:
             yield out()
 
     parts = max(1, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     coded = known.mapInArrow(encode, "conv_id bigint, turn bigint, role string, ids binary")
-    dealt = coded.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")
+    dealt = coded.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role")
     return dealt.mapInArrow(join, "conv_id bigint, n_turns bigint, ids array<int>, loss_mask array<tinyint>")
 
 

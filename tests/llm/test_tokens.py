@@ -63,6 +63,15 @@ def test_chat(spark):
     assert chat_format.format_chats(df.limit(0), path).count() == 0
 
 
+def test_chat_ties_go_by_text(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    said = ["zebra", "b", "the", "", "a<|b", "a<b", "a\\b", "<\\|", "日本", "😀", "ﬁ", "apple pie", "apple", "b"]
+    rows = [(1, t, r, x) for t in (None, 2) for r in ("assistant", "user") for x in said]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = chat_format.read_back(chat_format.format_chats(df, path), path).first().turns
+    assert [tuple(x) for x in turns] == [(r, x) for _ in range(2) for r in ("assistant", "user") for x in sorted(said)]
+
+
 @pytest.mark.parametrize("text", ["", "<|", "<\\|", "<\\\\|<|", "plain", "<<||"])
 def test_escape(text):
     assert chat_format.unescape(chat_format.escape(text)) == text and "<|" not in chat_format.escape(text)
