@@ -12,10 +12,12 @@ _OWN_ROOTS: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset a local session gets a temporary one; a cluster has none that all share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        app = spark.sparkContext.applicationId
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         if app not in _OWN_ROOTS:
             _OWN_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="faultline-")
         root = _OWN_ROOTS[app]
@@ -42,11 +44,19 @@ class Scratch:
         saved = self.save(df.observe(seen, *(c.alias(k) for k, c in what.items())), name)
         return saved, seen.get
 
+    def _path(self, name: str = ""):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, store = self._path(name)
+            store.delete(path, True)
+
+    def keep(self, *names: str) -> None:
+        """Removes all tables but these."""
+        root, store = self._path()
+        self.drop(*(n for n in (x.getPath().getName() for x in store.listStatus(root)) if n not in names))
 
 
 def components(scratch: Scratch, edges: DataFrame, label: str) -> DataFrame:
