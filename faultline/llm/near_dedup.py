@@ -2,17 +2,24 @@ r"""Operator 5, near-duplicates by b-bit MinHash: bands of minima give candidate
 
 Each distinct shingle set is one node, so copies never meet in pairs. ``BANDS`` bands of ``ROWS`` minima put two sets of
 similarity 0.85 into a common bucket but for about 7 in 10^9 pairs. In a bucket every member is compared with one
-centre, not with all; members that end in another component than some other member get a next centre, and what is still
-divided after ``turns`` turns is compared pair by pair, so no link between components is lost; there, members whose distances
-to their common centre differ by more than a link allows are no pair (the Jaccard distance is a metric). A candidate goes on to
-the full sets unless the estimate from its ``BITS``-bit signature, corrected for chance agreement, is ``SLACK`` below the
-threshold (five standard deviations). Sets are 64-bit hashes of shingles; links are decided on them in full.
-Components are labelled by star contraction on written tables; nothing is gathered to the driver but counts.
+centre, not with all: a candidate goes on to the full sets unless the estimate from its ``BITS``-bit signature, corrected
+for chance agreement, is ``SLACK`` below the threshold (five standard deviations). Members that end in another component
+than some other member get a next centre in the same way, ``turns`` times.
+
+What is then still divided is decided exactly and without comparing all pairs. Members of a bucket have its first centre in common and are
+written as their differences from it; two members share |c| - |missing of x| - |missing of y| + |common differences|
+shingles, so a link asks for a number of common differences that their sizes give. Differences are ordered by how few
+members have them, and a pair that has enough in common meets within the first ones of both (prefix filtering). Unlinked
+copies of one text differ from it in ways of their own, so they hardly ever meet.
+
+Sets are 64-bit hashes of shingles; links are decided on them in full. Components are labelled by star contraction on
+written tables; nothing is gathered to the driver but counts.
 
 Words are ``[^\x20\x09-\x0D]+`` of the text with A-Z lower-cased. Null, empty and blank texts have no shingles and link
-with nothing. Several rows of one id are taken as one (its rows' smallest set hash stands for it); rows with a null id
-are returned as their own component. Ties in a component go to its smallest id. Empty tables give no rows; extra columns
-are not read.
+with nothing. Rows of one id are one document, whose links are those of all its texts; ``n_shingles`` is that of the row.
+Rows with a null id are nobody's copy: their component and ``kept`` are null and true. Ties in a component go to its
+smallest id. Ids are of any type that has an order. Empty tables give no rows; extra columns are not read. A text's set and
+the minima in blocks bound memory, so the longest text does.
 """
 
 from __future__ import annotations
@@ -70,12 +77,16 @@ def _set_hash(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(np.array([mix(shingles ^ np.uint64(k)).sum(dtype=np.uint64) + np.uint64(len(shingles))]))[0].astype(np.int64)) for k in (0, 0x5851F42D4C957F2D))
 
 
+def _kind(docs: DataFrame, column: str) -> str:
+    return docs.schema[column].dataType.simpleString()
+
+
 def signatures(docs: DataFrame, *, id_column: str, text: str, width: int) -> DataFrame:
-    """Of each row: id, n_shingles, 128 bits that identify the set, its bands' keys and its packed low bits."""
+    """Of each row: id, a hash of the text, n_shingles, 128 bits that identify the set, its bands' keys and its packed low bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in slices(text_column(batch, text)):
+            for first, end, data, offsets in slices(text_column(batch, "text")):
                 sizes, marks, low = [], [], []
                 for s in shingle_sets(data, offsets, width):
                     sizes.append(len(s))
@@ -88,25 +99,30 @@ def signatures(docs: DataFrame, *, id_column: str, text: str, width: int) -> Dat
                 packed = (nibbles << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64).astype(np.int64)
                 yield pa.record_batch(
                     [
-                        batch.column(0).slice(first, end - first),
+                        *(c.slice(first, end - first) for c in batch.columns[:2]),
                         pa.array(sizes, pa.int64()),
                         pa.array([m[0] for m in marks], pa.int64()),
                         pa.array([m[1] for m in marks], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(low) + 1) * BANDS, pa.int32()), pa.array(bands.ravel())),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(low) + 1) * packed.shape[1], pa.int32()), pa.array(packed.ravel())),
                     ],
-                    names=["doc_id", "n_shingles", "s1", "s2", "bands", "low"],
+                    names=["doc_id", "mark", "n_shingles", "s1", "s2", "bands", "low"],
                 )
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias(text)).mapInArrow(run, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, low array<bigint>")
+    kinds = f"doc_id {_kind(docs, id_column)}, mark bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, low array<bigint>"
+    return _marked(docs, id_column, text).mapInArrow(run, kinds)
+
 
+def _marked(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    return docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
 
-def full_sets(docs: DataFrame, *, text: str, width: int) -> DataFrame:
+
+def full_sets(docs: DataFrame, *, width: int) -> DataFrame:
     """(node, shingles array<bigint>) of rows (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in slices(text_column(batch, text)):
+            for first, end, data, offsets in slices(text_column(batch, "text")):
                 sets = list(shingle_sets(data, offsets, width))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.array(np.concatenate(sets).astype(np.int64)))
                 yield pa.record_batch([batch.column(0).slice(first, end - first), lists], names=["node", "shingles"])
@@ -142,24 +158,63 @@ def _signed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(_side(low, "a"), "a").join(_side(low, "b"), "b")
 
 
-def _measured(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, distance, link) of pairs, from their full sets: the Jaccard distance and whether the threshold is reached."""
+def _linked(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return (
-        likely.join(_side(sets, "b"), "b")
-        .join(_side(sets, "a"), "a")
-        .select("a", "b", common.alias("c"), (F.size("shingles_a") + F.size("shingles_b")).alias("t"))
-        .select("a", "b", F.expr("1 - c / (t - c)").alias("distance"), F.expr(f"100 * c >= {percent} * (t - c)").alias("link"))
+    both = likely.join(_side(sets, "b"), "b").join(_side(sets, "a"), "a").select("a", "b", common.alias("c"), (F.size("shingles_a") + F.size("shingles_b")).alias("t"))
+    return both.where(f"100 * c >= {percent} * (t - c)").select("a", "b")
+
+
+def _close_links(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links between members (pivot, node, component) of one pivot that are in different components; (a, b).
+
+    With ``whole = 100 + percent``, x and y are linked if ``whole * |common shingles| >= percent * (|x| + |y|)``. Let ``w`` be
+    percent * |x| + whole * |missing of x|; then ``whole * |common differences| >= w_x + w_y - whole * |c|`` says the same, and the
+    pivot is the member without differences, w = percent * |c|.
+    """
+    whole = 100 + percent
+    known = members.join(_side(sets, "p").withColumnRenamed("p", "pivot"), "pivot").join(sets, "node")
+    known = known.select(
+        "pivot",
+        "node",
+        "component",
+        F.size("shingles_p").cast("long").alias("c"),
+        F.size("shingles").cast("long").alias("size"),
+        F.array_except("shingles_p", "shingles").alias("missing"),
+        F.array_except("shingles", "shingles_p").alias("added"),
     )
-
-
-def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85, slack: float = SLACK, turns: int = 2) -> DataFrame:
+    known = known.select("pivot", "node", "component", "c", F.expr(f"{percent}L * size + {whole}L * size(missing)").alias("w"), F.concat("missing", "added").alias("differences"))
+    known = scratch.save(known, "differences")
+    near = f"w <= ({whole - percent}L) * c"
+    direct = known.where(near).where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    # A member near the pivot is in its component, so only those that are not can be linked with it unknown.
+    least = f"if({near}, {whole - percent}L * c + 1, {percent}L * c)"
+    each = known.select("pivot", "node", F.explode("differences").alias("d"))
+    rarity = each.groupBy("pivot", "d").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Differences of one member alone come first of all and meet with none; their number is what counts.
+    ranked = each.join(rarity, ["pivot", "d"]).groupBy("pivot", "node").agg(F.sort_array(F.collect_list(F.struct("n", "d"))).alias("shared"))
+    slim = known.select("pivot", "node", "component", "c", "w", F.size("differences").cast("long").alias("k"), F.expr(least).alias("least"))
+    first = slim.join(ranked, ["pivot", "node"]).select(*slim.columns, F.posexplode("shared").alias("at", "s"), F.size("shared").alias("held"))
+    # ``left``: how many differences come after this one.
+    first = first.select("pivot", "node", "component", "c", "w", F.expr("held - at - 1").cast("long").alias("left"), F.col("s.d").alias("d"), "least")
+    first = scratch.save(first.where(f"w + least - {whole}L * c <= {whole}L * (left + 1)").drop("least"), "firsts")
+    a, b = (first.select("pivot", "d", "c", *(F.col(x).alias(f"{x}_{k}") for x in ("node", "component", "w", "left"))) for k in "ab")
+    meet = f"node_a < node_b and component_a <> component_b and w_a + w_b - {whole}L * c <= {whole}L * (least(left_a, left_b) + 1)"
+    met = a.join(b.drop("c"), ["pivot", "d"]).where(meet).select("pivot", F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    sides = {k: known.select("pivot", F.col("node").alias(k), F.col("w").alias(f"w_{k}"), F.col("differences").alias(f"of_{k}"), *(["c"] if k == "a" else [])) for k in "ab"}
+    sure = F.expr(f"{whole}L * size(array_intersect(of_a, of_b)) >= w_a + w_b - {whole}L * c")
+    return direct.unionAll(met.join(sides["a"], ["pivot", "a"]).join(sides["b"], ["pivot", "b"]).where(sure).select("a", "b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85, slack: float = SLACK, turns: int = 1) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (its component's smallest id) and kept."""
     scratch = Scratch(docs.sparkSession, "near")
     marks = scratch.save(signatures(docs, id_column=id_column, text=text, width=width), "marks")
     named = marks.where("doc_id is not null and n_shingles > 0")
-    # One node for each distinct set; its least id stands for it.
-    nodes = scratch.save(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("low").alias("low")), "nodes")
+    # One node for each distinct set, numbered as it is written; its least id stands for it.
+    stands = F.min(F.struct("doc_id", "mark")).alias("stands")
+    distinct = named.groupBy("s1", "s2").agg(stands, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+    nodes = scratch.save(distinct.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "stands.*", "n_shingles", "bands", "low"), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = scratch.save(rows.join(shared, "bucket"), "members")
@@ -168,56 +223,52 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text: str = "
     known = members.select("bucket", "node").join(fame, "node")
     centres = known.groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("node")).alias("r"))).alias("c")).select("bucket", (-F.col("c.r")).alias("centre"))
     buckets = scratch.save(known.join(centres, "bucket"), "buckets-0")
-    whole = docs.select(F.col(id_column).cast("long").alias("node"), F.col(text).alias(text))
-    texts = whole.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first(text).alias(text))
-    sets = scratch.save(full_sets(texts.select("node", text), text=text, width=width), "sets")
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "mark")
+    texts = _marked(docs, id_column, text).join(wanted, ["doc_id", "mark"]).groupBy("node").agg(F.first("text").alias("text"))
+    sets = scratch.save(full_sets(texts, width=width), "sets")
 
     star = _signed(buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), nodes)
-    seen = scratch.save(star.select("a", "b", F.expr(_estimate()).alias("estimate"), F.expr(_possible(percent, slack)).alias("possible")), "seen")
-    near = scratch.save(_measured(seen.where("possible").select("a", "b"), sets, percent), "near")
-    links = near.where("link").select("a", "b")
-    # How far each member is from its bucket's centre: known for likely pairs, bounded by the estimate for others.
-    far = seen.where("not possible").select("a", "b", F.expr(f"greatest(0D, 1 - estimate - {slack}D)").alias("lo"), F.lit(1.0).alias("hi"))
-    reach = near.select("a", "b", F.col("distance").alias("lo"), F.col("distance").alias("hi")).unionAll(far)
+    links = scratch.save(_linked(star.where(_possible(percent, slack)).select("a", "b"), sets, percent), "links-0")
+    # Texts of one id are one document.
+    mixed = named.groupBy("doc_id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi")
+    own = scratch.save(named.join(mixed, "doc_id", "left_semi").join(nodes.select("s1", "s2", "node"), ["s1", "s2"]).select("doc_id", "node").distinct(), "mixed")
+    if not own.isEmpty():
+        links = links.unionAll(own.join(own.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).where("a <> b"))
     found = components(scratch, links, "c0")
     open_rows = buckets.where("node <> centre").select("bucket", "node", "fame", F.col("centre").alias("pivot"))
-    for turn in range(1, turns + 1):
+    for turn in range(1, turns + 2):
         placed = open_rows.join(found, "node", "left").select("bucket", "node", "fame", "pivot", F.coalesce("component", "node").alias("component"))
         parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("fame", (-F.col("node")).alias("r"))).alias("top"))
         divided = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("top", "component")).alias("lead")).where("parts > 1")
         now = scratch.save(placed.join(divided.select("bucket", (-F.col("lead.top.r")).alias("centre"), F.col("lead.component").alias("of")), "bucket"), f"buckets-{turn}")
         if now.isEmpty():
             break
-        if turn == turns:
-            # What is still divided meets pair by pair. Sizes, estimates and the triangle inequality over the common pivot are
-            # part of the join, which makes possible pairs alone.
-            held = now.select("bucket", "node", "component", "pivot").join(nodes.select("node", "low", "n_shingles"), "node")
-            held = held.join(reach.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "lo", "hi"), ["pivot", "node"], "left").drop("pivot")
-            a, b = (held.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in held.columns if c != "bucket")) for k in "ab")
-            wide = 1 - percent / 100 + 1e-9
-            apart = f"coalesce(lo_a - hi_b > {wide!r}D or lo_b - hi_a > {wide!r}D, false)"
-            test = F.expr(f"node_a < node_b and component_a <> component_b and not {apart} and {_possible(percent, slack)}")
-            likely = a.join(b, (a.bucket == b.bucket) & test).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        if turn > turns:
+            more = _close_links(scratch, now.select("pivot", "node", "component").distinct(), sets, percent)
         else:
             pairs = now.where("component <> of").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-            likely = _signed(pairs, nodes).where(_possible(percent, slack)).select("a", "b")
-        more = scratch.save(_measured(likely, sets, percent).where("link").select("a", "b"), f"links-{turn}")
+            more = _linked(_signed(pairs, nodes).where(_possible(percent, slack)).select("a", "b"), sets, percent)
+        more = scratch.save(more, f"links-{turn}")
         if not more.isEmpty():
             links = links.unionAll(more)
             found = components(scratch, links, f"c{turn}")
         open_rows = now.where("node <> centre").select("bucket", "node", "fame", "pivot")
-    scratch.drop("sets", "members", *(f"buckets-{k}" for k in range(turns + 1)))
 
-    member = nodes.select("s1", "s2", "node").join(found, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
-    least = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return marks.select("doc_id", "n_shingles", "s1", "s2").join(member, ["s1", "s2"], "left").select("doc_id", "n_shingles", least.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
+    named_by = nodes.select("s1", "s2", "node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named_by.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    member = named_by.join(least, "component").select("s1", "s2", "component_id")
+    own_id = F.expr("if(n_shingles > 0 and doc_id is not null, component_id, doc_id)").alias("component_id")
+    labelled = marks.select("doc_id", "n_shingles", "s1", "s2").join(member, ["s1", "s2"], "left").select("doc_id", "n_shingles", own_id).withColumn("kept", F.expr("doc_id <=> component_id"))
+    out = scratch.save(labelled, "labelled")
+    scratch.keep("labelled")
+    return out
 
 
 def deduplicate(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` whose id stands for its component; rows without an id stay."""
+    """The rows of ``docs`` whose id stands for its component (all rows of an id stay or go together); rows without an id stay."""
     extra = salted(docs)
     gone = near_duplicates(docs, id_column=id_column, text=text, width=width, percent=percent).where("not kept").select(F.col("doc_id").alias(extra)).distinct()
-    return docs.join(gone, docs[id_column].cast("long") == gone[extra], "left_anti")
+    return docs.join(gone, docs[id_column] == gone[extra], "left_anti")
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -98,6 +98,60 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def matrix_components(values, width, percent):
+    """``brute_components`` by one product of the incidence matrix with itself."""
+    sets, place = [shingles(x, width) for x in values], {}
+    grid = np.zeros((len(values), len({g for s in sets for g in s})), np.float32)
+    for k, s in enumerate(sets):
+        grid[k, [place.setdefault(g, len(place)) for g in s]] = 1
+    common, size = (grid @ grid.T).astype(np.int64), np.array([len(s) for s in sets])
+    linked = (100 * common >= percent * (size[:, None] + size - common)) & (size > 0)
+    label = np.arange(len(values))
+    while True:
+        now = np.where(linked, label, len(label)).min(axis=1, initial=len(label))
+        now = np.minimum(now, label)
+        if (now == label).all():
+            return {k: (int(size[k]), int(label[k])) for k in range(len(values))}, linked
+        label = now
+
+
+def test_a_large_group_of_near_copies(spark):
+    rnd = random.Random(11)
+    base = [f"w{k}" for k in range(90)]
+    values = []
+    for k in range(2000):  # some near the source, some near another copy only, some linked with none
+        copy = list(base) if k < 1500 else values[rnd.randrange(1500)].split()
+        for _ in range(rnd.choice([0, 1, 2, 3, 4, 6, 9])):
+            at, how = rnd.randrange(len(copy)), rnd.random()
+            copy[at : at + 1] = [f"n{rnd.randrange(40)}"] if how < 0.6 else [] if how < 0.8 else [copy[at], "and"]
+        values.append(" ".join(copy))
+    for width, percent in ((3, 85), (5, 80)):
+        want, linked = matrix_components(values, width, percent)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, values), width=width, percent=percent).collect()}
+        assert got == want and 100 < sum(k == c for k, (_, c) in want.items()) < 1900 and linked.sum() > 100_000
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    say = lambda seed: " ".join(f"s{seed}w{k}" for k in range(60))
+    x, y, z = say(1), say(2), say(3)
+    rows = [(1, x), (1, y), (3, x + " more"), (4, y + " more"), (5, z), (6, z + " more"), (7, z), (7, "else " + say(4)), (8, say(4)), (None, x), (None, None), (9, None), (9, say(5)), (9, say(5)), (10, "")]
+    want = {(1, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 5), (8, 5), (None, None), (9, 9), (10, 10)}
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        assert {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df).collect()} == want
+        assert sorted((r.doc_id or 0) for r in near_dedup.deduplicate(df).collect()) == [0, 0, 1, 1, 5, 9, 9, 9, 10]
+    named = spark.createDataFrame([("b", x), ("a", x), ("c", y)], "doc_id string, text string")
+    assert {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(named).collect()} == {("a", "a", True), ("b", "a", False), ("c", "c", True)}
+
+
+def test_recall_of_the_query(spark):
+    """All links of the table, by all pairs that share a shingle."""
+    values = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    order = sorted(values)
+    want = {order[k]: (n, order[c]) for k, (n, c) in brute_components([values[k] for k in order], 3, 85).items()}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in entry.QUERIES["op5_near_dedup"](spark, DATA).collect()} == want
+
+
 def test_leaks(spark):
     rnd = random.Random(3)
     say = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 8))) for _ in range(n))
