@@ -165,18 +165,63 @@ def test_leaks(spark):
     assert decontamination.leaks(frame(spark, values), benchmark.limit(0)).count() == 0 == decontamination.leaks(frame(spark, []), benchmark).count()
 
 
+def plain_edits(item, text):
+    """Least edits between the item and a part of the text, by the full table, row by row."""
+    chars, columns = np.frombuffer(text.encode("utf-32-le"), np.uint32), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
+    for k, c in enumerate(item, 1):
+        now = np.append(k, np.minimum(row[:-1] + (chars != ord(c)), row[1:] + 1))
+        row = np.minimum.accumulate(now - columns) + columns
+    return int(row.min())
+
+
+def altered(rnd, item, edits):
+    s = list(item)
+    for _ in range(edits):
+        k, how = rnd.randrange(len(s)), rnd.random()
+        s[k : k + 1] = ["z"] if how < 0.4 else [] if how < 0.7 else [s[k], "y"]
+    return "".join(s)
+
+
 def test_leaks_within_the_budget_are_all_found():
     rnd = random.Random(4)
-    item = " ".join("".join(rnd.choice("abcdef") for _ in range(5)) for _ in range(30))
-    index = decontamination.Index.build([(0, item)], decontamination.Q, decontamination.RATE)
-    for _ in range(60):
-        s = list(item)
-        for _ in range(int(index.budgets[0])):
-            k, how = rnd.randrange(len(s)), rnd.random()
-            s[k : k + 1] = ["z"] if how < 0.4 else [] if how < 0.7 else [s[k], "y"]
-        text = decontamination.normal("q r s " * 20 + "".join(s) + " t u v" * 20)
-        want = decontamination.banded_distance(decontamination.codes(item), decontamination.codes(text), int(index.budgets[0]))[0]
-        assert [e for _, _, e, _ in decontamination.find(index, [text])] == ([want] if want <= index.budgets[0] else [])
+    say = lambda n: " ".join("".join(rnd.choice("abcdef") for _ in range(5)) for _ in range(n))
+    for size in (5, 12, 22, 31, 60, 179):  # the first four are too short for grams of 8
+        item = say(30)[:size].strip()
+        (index,) = decontamination.indexes([(0, item)], decontamination.Q, decontamination.RATE)
+        k = int(0.1 * len(item))
+        assert int(index.budgets[0]) == k and index.q == (8 if size > 31 else 4)
+        for edits in [0, 1, k, k, k, k + 1, k + 2] * 3:
+            text = decontamination.normal("q r s " * 20 + altered(rnd, item, edits) + " t u v" * 20)
+            want = plain_edits(item, text)
+            assert [e for _, _, e, _ in decontamination.find(index, [text])] == ([want] if want <= k else [])
+
+
+def test_the_decontamination_query(spark):
+    """Every document against every item, by the full table, where a quarter of the item occurs as it is; the budget of a tenth leaves such a quarter or a lone half."""
+    want = set()
+    items = [(r.item_id, decontamination.normal(r.text)) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        text = decontamination.normal(r.text)
+        for name, item in items:
+            k, n = int(0.1 * len(item)), len(item)
+            size = n // (k + 1)  # of k + 1 equal parts one at least has no edit
+            if any(item[a : a + size] in text for a in range(0, n - size + 1, size)) and plain_edits(item, text) <= k:
+                want.add((r.doc_id, name))
+    found = entry.QUERIES["op7_decontamination"](spark, DATA)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want and want and found.columns == ["doc_id", "item_id", "edits", "budget", "end_at"]
+
+
+def test_leaks_of_odd_rows(spark):
+    item = "the quick brown fox jumps over the lazy dog and runs away from it"
+    benchmark = spark.createDataFrame([(1, item), (2, item), (None, item.upper()), (3, " ")], "item_id long, text string")
+    long = "word " * 300_000 + item
+    rows = [(None, item), (None, item), (5, "clean"), (5, item), (6, long), (7, None)]
+    docs = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, item_id string, edits int")
+    for block in (30, 10**6):
+        assert decontamination.leaks(docs, benchmark, block_chars=block).count() == 4 * 3
+        kept = decontamination.clean(docs, benchmark, block_chars=block)
+        assert kept.columns == docs.columns and [(r.doc_id, r.text) for r in kept.orderBy("doc_id").collect()] == [(5, "clean"), (7, None)]
 
 
 def test_language(spark):
