@@ -2,17 +2,21 @@
 
 A text's features are its hashed byte 1- to 4-grams in lower case (square roots of their shares). A first set of
 one-versus-one linear support vector machines tells language families apart; within the predicted family another set
-separates its languages. Both are trained on the driver from ``per_language`` labelled texts of each language, fewer
-where there are over ``most_texts / per_language`` languages; prediction streams whole texts past the broadcast weights
-(their size is bounded by the number of languages). Nothing is shuffled but ids and labels for the choice of the sample.
+separates its languages. Both are trained on the driver from ``per_language`` labelled texts of each language at most (those
+with the least hash of their id; over ``most_texts / per_language`` languages share ``most_texts``, with ``LEAST_TEXTS`` of
+each at least), and every language is learned. Prediction streams whole texts past the broadcast weights. Model and sample
+are bounded by the number of languages: machines by its square in a family, the sample by 16 KB a text. To choose the sample, labels
+are counted and ids with a hash under a bound drawn from the counts are shuffled, about twice as many as are taken.
 
 ``score`` is the probability of the family times that of the language in it, each from its votes' mean margin. The winner
 of a set has hardly less than 0.5, whatever the text, so ``certain`` asks for a floor under the lesser of the two, learned by
 ``calibrate`` from texts that the judging machines have not seen. It tells what lies between the learned languages: a text of
 another language that is close to one of them can pass, and with one learned language alone every text with a letter does.
 A null text or one without a letter is ``und`` with score 0; so is every text if there is nothing to learn from. Null
-labels teach nothing. A language that ``FAMILIES`` does not list is a family of its own. Ties go to the first language
-in alphabetic order; repeated rows get equal results; empty tables give no rows; extra columns are not read.
+labels and null ids teach nothing; repeated rows of an id teach as one (its least features under each label). Languages that
+``FAMILIES`` does not list are one family together. Ties go to the first language in alphabetic order; repeated rows, equal
+and null ids get a result for each row; empty tables give no rows; extra columns are not read. One text bounds a
+task's memory, and takes 20 bytes for each of its own.
 """
 
 from __future__ import annotations
@@ -32,10 +36,23 @@ from faultline.llm.common import salted, slices, table, text_column
 
 #: Families of common languages: fixed values (ISO 639-1 codes).
 FAMILIES = {
-    **dict.fromkeys(["en", "de", "nl", "sv", "da", "no", "is", "af"], "germanic"),
-    **dict.fromkeys(["fr", "es", "it", "pt", "ro", "ca", "gl"], "romance"),
-    **dict.fromkeys(["ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr", "sl"], "slavic"),
+    **dict.fromkeys(["en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "lb", "fy", "yi"], "germanic"),
+    **dict.fromkeys(["fr", "es", "it", "pt", "ro", "ca", "gl", "oc", "la"], "romance"),
+    **dict.fromkeys(["ru", "uk", "be", "pl", "cs", "sk", "bg", "mk", "sr", "hr", "bs", "sl"], "slavic"),
+    **dict.fromkeys(["lt", "lv"], "baltic"),
+    **dict.fromkeys(["ga", "gd", "cy", "br"], "celtic"),
+    **dict.fromkeys(["fi", "et", "hu"], "uralic"),
+    **dict.fromkeys(["tr", "az", "kk", "ky", "uz", "tk", "tt", "ug"], "turkic"),
+    **dict.fromkeys(["hi", "ur", "bn", "pa", "gu", "mr", "ne", "si", "sd", "or", "as", "sa"], "indic"),
+    **dict.fromkeys(["fa", "ku", "ps", "tg"], "iranian"),
+    **dict.fromkeys(["ta", "te", "kn", "ml"], "dravidian"),
+    **dict.fromkeys(["ar", "he", "am", "mt", "ti"], "semitic"),
+    **dict.fromkeys(["id", "ms", "jv", "su", "tl", "mg", "mi", "sm", "haw"], "austronesian"),
+    **dict.fromkeys(["sw", "zu", "xh", "st", "sn", "rw", "ln"], "bantu"),
+    **dict.fromkeys(["zh", "bo", "my"], "sino-tibetan"),
 }
+OTHER = "other"
+LEAST_TEXTS = 20
 DIMENSIONS, GRAMS = 1 << 13, 4
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -120,7 +137,7 @@ class Model:
     def fit(x: np.ndarray, languages: np.ndarray) -> Model:
         if not len(x):
             return Model(None, {})
-        families = np.array([FAMILIES.get(v, f"own {v}") for v in languages.tolist()])
+        families = np.array([FAMILIES.get(v, OTHER) for v in languages.tolist()])
         return Model(Duels.fit(x, families), {f: Duels.fit(x[families == f], languages[families == f]) for f in sorted(set(families.tolist()))})
 
     def parts(self, x: np.ndarray) -> tuple[str, float, float]:
@@ -166,18 +183,25 @@ def train(docs: DataFrame, allowed: Column, *, id_column: str = "doc_id", text:
     """A model from the labelled rows that ``allowed`` admits: of each language those with the least hash of their id. With ``calibrated``, it has the floor that ``certain`` needs."""
     known = docs.where(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id_column).isNotNull())
     ids = known.select(F.col(id_column).alias("_id"), F.col(lang).alias("_lang"))
-    kinds = ids.agg(F.approx_count_distinct("_lang")).first()[0]
-    each = max(20, min(per_language, most_texts // max(1, kinds)))
+    counts = {r["_lang"]: r["count"] for r in ids.groupBy("_lang").count().collect()}  # a row for each language
+    each = max(LEAST_TEXTS, min(per_language, most_texts // max(1, len(counts))))
+    # The ``each`` least hashes of a language are below a bound that leaves about twice as many; only those are ranked.
+    bounds = [(name, -(1 << 63) + min((1 << 64) - 1, int((2 * each + 100) / n * (1 << 64)))) for name, n in counts.items()]
+    below = docs.sparkSession.createDataFrame(bounds, f"_lang {docs.schema[lang].dataType.simpleString()}, _bound bigint")
+    near = ids.join(F.broadcast(below), "_lang").where(F.xxhash64("_id") <= F.col("_bound")).select("_id", "_lang").distinct()
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    chosen = ids.withColumn("_rank", rank).where(F.col("_rank") <= each).select("_id", "_lang").distinct().limit(2 * most_texts)
+    chosen = near.withColumn("_rank", rank).where(F.col("_rank") <= each).select("_id", "_lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(i, x) for i, t in enumerate(text_column(batch, "_text").to_pylist()) if has_letter(t) for x in features([t])]
-            yield pa.record_batch([batch.column(0).take(pa.array([i for i, _ in found], pa.int64())), pa.array([x.astype(np.float16).tobytes() for _, x in found], pa.binary())], names=["_lang", "x"])
+            taken = [c.take(pa.array([i for i, _ in found], pa.int64())) for c in batch.columns[:2]]
+            yield pa.record_batch([*taken, pa.array([x.astype(np.float16).tobytes() for _, x in found], pa.binary())], names=["_id", "_lang", "x"])
 
     texts = docs.where(allowed).select(F.col(id_column).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).join(F.broadcast(chosen), ["_id", "_lang"], "left_semi")
-    rows = sorted((r["_lang"], bytes(r.x)) for r in texts.select("_lang", "_text").mapInArrow(run, "_lang string, x binary").collect())
+    kinds = ", ".join(f"{a} {docs.schema[b].dataType.simpleString()}" for a, b in (("_id", id_column), ("_lang", lang)))
+    once = texts.mapInArrow(run, f"{kinds}, x binary").groupBy("_id", "_lang").agg(F.min("x").alias("x"))
+    rows = sorted((r["_lang"], bytes(r.x)) for r in once.select("_lang", "x").collect())
     x = np.array([np.frombuffer(r[1], np.float16) for r in rows], np.float32).reshape(len(rows), DIMENSIONS)
     languages = np.array([r[0] for r in rows], object)
     model = Model.fit(x, languages)

@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -237,6 +238,49 @@ def test_language(spark):
     assert language_id.identify(frame(spark, ODD), none).where("lang_pred <> 'und'").count() == 0
 
 
+def test_the_language_query(spark):
+    """Every row's label and score, against the model's own machines one text at a time, and its accuracy on held-out rows."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = entry.QUERIES["op8_language_id"](spark, DATA).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    assert np.mean([r.lang_pred == docs[r.doc_id].lang for r in rows if r.held_out and docs[r.doc_id].lang]) > 0.95
+
+
+def test_all_languages_are_learned(spark):
+    """More languages than families list, ids that repeat, null ids, and a language that has most rows."""
+    rnd = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    say = lambda k: " ".join("".join(rnd.choice(letters[k % 20 : k % 20 + 6]) for _ in range(5)) + letters[k % 26] * 3 for _ in range(40))
+    rows = [(k * 100 + j, say(k), f"q{k}") for k in range(12) for j in range(30)] + [(10_000 + j, say(0), "q0") for j in range(400)]
+    rows += [(7, rows[7][1], "q0")] * 500 + [(None, say(3), "q4")] * 5 + [(20_000, "long " * 200_000, "en"), (20_001, None, "en")]
+    docs = spark.createDataFrame([(i, t, x, 1.0) for i, t, x in rows], "doc_id long, text string, lang string, score double")
+    model = language_id.train(docs, F.lit(True), per_language=40, most_texts=100)
+    assert {n for d in model.within.values() for n in d.names} == {f"q{k}" for k in range(12)} | {"en"}
+    said = language_id.identify(docs, model, keep=("lang",)).collect()
+    assert len(said) == len(rows) and np.mean([r.lang == r.lang_pred for r in said if r.doc_id is not None]) > 0.95
+    again = language_id.train(docs.repartition(7), F.lit(True), per_language=40, most_texts=100)
+    assert all(np.array_equal(model.within[f].weights, again.within[f].weights) for f in model.within)
+
+
+def test_machines_vote_as_written():
+    """``decide`` against a plain count of every duel."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 0.3, (30, 12)) + np.eye(12)[k] for k in range(4)]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    duels = language_id.Duels.fit(x, np.repeat(np.array(list("abcd"), object), 30))
+    for row in x:
+        votes, sums = Counter(), Counter()
+        for (a, b), w, bias in zip(duels.pairs, duels.weights, duels.biases):
+            m = float(w @ row + bias)
+            votes["abcd"[a] if m >= 0 else "abcd"[b]] += 1
+            sums["abcd"[a]] += m
+            sums["abcd"[b]] -= m
+        best = max("abcd", key=lambda n: (votes[n], sums[n], -ord(n)))
+        name, p = duels.decide(row)
+        assert name == best and abs(p - 1 / (1 + np.exp(-4 * sums[best] / 3))) < 1e-5
+
+
 def test_language_floor(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.train(docs, ~language_id.held_out("doc_id"), calibrated=True)
