@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
 from pyarrow import fs as pafs
@@ -31,15 +32,44 @@ def publish(uri: str, data: bytes) -> None:
     store.move(held, path)
 
 
-def rename(root: str, pairs: list[tuple[str, str]]) -> None:
-    """Moves files below ``root``; one that has been moved before counts as moved, so that a commit can be repeated."""
-    store, base = open_store(root)
-    for old, new in pairs:
-        if store.get_file_info(f"{base}/{old}").type != pafs.FileType.NotFound:
-            store.create_dir(f"{base}/{new}".rpartition("/")[0], recursive=True)
-            store.move(f"{base}/{old}", f"{base}/{new}")
-        elif store.get_file_info(f"{base}/{new}").type == pafs.FileType.NotFound:
-            raise FileNotFoundError(f"{root}/{old}")
+def publish_new(uri: str, data: bytes) -> None:
+    """``publish`` that fails with FileExistsError if the file is there: of two writers one succeeds.
+
+    Local files by a hard link, others by the Hadoop rename that does not overwrite (atomic on HDFS; an object store must offer it).
+    """
+    store, path = open_store(uri)
+    held = f"{path}.{uuid.uuid4().hex}.tmp"
+    if isinstance(store, pafs.LocalFileSystem):
+        publish(f"file:{held}", data)
+        try:
+            os.link(held, path)
+        finally:
+            os.unlink(held)
+        return
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    temporary = f"{uri.rpartition('/')[0]}/{held.rpartition('/')[2]}"
+    publish(temporary, data)
+    source, target = hadoop.Path(temporary), hadoop.Path(uri)
+    none = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    none[0] = hadoop.Options.Rename.NONE
+    files = hadoop.FileContext.getFileContext(target.toUri(), conf)
+    try:
+        files.rename(source, target, none)
+    except Exception as failure:
+        files.delete(source, False)
+        if "FileAlreadyExists" in str(failure):
+            raise FileExistsError(uri) from failure
+        raise
+
+
+def settle(store: pafs.FileSystem, held: str, path: str) -> None:
+    """Gives a written file its name. Attempts of one task write the same bytes, so the last to settle replaces equal content."""
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    store.move(held, path)
 
 
 def remove(uri: str) -> None:
@@ -66,8 +96,11 @@ class Manifests:
         return int(name.removesuffix(".json")), json.loads(read_bytes(f"{self.root}/manifests/{name}"))
 
     def commit(self, version: int, body: dict) -> None:
-        """Puts version ``version`` in force if it is the next one."""
+        """Puts version ``version`` in force if it is the next one; of several that try, one succeeds and the others get RuntimeError."""
         now = self.latest()[0]
         if version != now + 1:
             raise RuntimeError(f"version {now} is in force; {version} can't follow it")
-        publish(f"{self.root}/manifests/{version:08d}.json", json.dumps(body, sort_keys=True).encode())
+        try:
+            publish_new(f"{self.root}/manifests/{version:08d}.json", json.dumps(body, sort_keys=True).encode())
+        except FileExistsError:
+            raise RuntimeError(f"version {version} has been committed by another writer") from None
