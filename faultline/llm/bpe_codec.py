@@ -5,13 +5,14 @@ documents share give the same chunks. The inside of a chunk, between its first a
 follows another character, is encoded once and kept
 in the worker's bounded cache. Each join (the last piece of one chunk
 and the first of the next) is repaired: the window around it is encoded afresh and accepted where it gives exactly the
-ids that both sides have next to it; else the window grows, to the whole text in the end. Decoding maps ids to bytes.
+ids that both sides have next to it; else the window grows by a piece on each side, over whole chunks where those end, until it agrees
+with what is outside of it. Decoding maps ids to bytes.
 
 A chunk is encoded once in each worker, not once in the cluster: a common dictionary would shuffle every chunk twice.
-Memory: two generations of ``cache_bytes`` at most, and the longest text.
+Memory: two generations of ``cache_bytes`` at most, and the longest text, whose ids take up to four times its bytes.
 
 Null and empty texts give no ids and an empty text. Special tokens inside texts are taken as the library takes them.
-Ties and repeated rows are rows of their own; empty tables give no rows; extra columns are neither read nor returned.
+Ties, repeated rows, equal and null ids are rows of their own; empty tables give no rows; extra columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -79,6 +80,11 @@ class Codec:
         ranks = {t: i for i, t in enumerate(table) if t and i not in special.values()}
         # The merges in their order make tokens in the order of their ids, so ranks decide alike.
         self.engine = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)._core_bpe
+        # A special token with white space can lie across pieces, so windows reach over more pieces than it has.
+        spaced = [t for t in special if re.search(f"[{WHITE}]", t)]
+        if any(a[-k:] == b[:k] for a in spaced for b in special for k in range(1, min(len(a), len(b)))):
+            raise ValueError("special tokens with white space that overlap others are not supported")
+        self.reach = max((len(PIECE.findall(t)) + 1 for t in spaced), default=1)
         self.specials, self.mark = set(special), re.compile("|".join(map(re.escape, special)) or "(?!)")
         self.flat = np.frombuffer(b"".join(table), np.uint8)
         self.sizes = np.array([len(t) for t in table], np.int64)
@@ -108,7 +114,7 @@ class Codec:
         return found if found is not None else self.put(text, self.encode_all(text), 3 * len(text))
 
     def prepare(self, chunk: bytes) -> tuple:
-        """Of a chunk: head, ids of its inside, tail, the first and the last piece of the inside (None for a chunk without an inside)."""
+        """Of a chunk: head, ids of its inside, tail, the first and the last ``reach`` pieces of the inside (None for a chunk without an inside)."""
         found = self.get(chunk)
         if found is not None:
             return found
@@ -116,37 +122,69 @@ class Codec:
         first, last = CUT.search(text), LAST_CUT.match(text)
         if first is None or (a := first.start()) == (b := last.start(1)):
             return text, None, "", "", ""
-        ids, inner = self.encode_all(text[a:b]), LAST_CUT.match(text, a, b)
-        return self.put(chunk, (text[:a], ids, text[b:], PIECE.match(text, a, b)[0], text[inner.start(1) if inner else a : b]), 2 * len(chunk) + 4 * len(ids))
+        if self.reach > 1:
+            pieces = PIECE.findall(text, a, b)
+            if len(pieces) < self.reach:
+                return text, None, "", "", ""
+            outer = "".join(pieces[: self.reach]), "".join(pieces[-self.reach :])
+        else:
+            inner = LAST_CUT.match(text, a, b)
+            outer = PIECE.match(text, a, b)[0], text[inner.start(1) if inner else a : b]
+        ids = self.encode_all(text[a:b])
+        return self.put(chunk, (text[:a], ids, text[b:], *outer), 2 * len(chunk) + 4 * len(ids))
 
     def join(self, last: str, middle: str, first: str) -> np.ndarray | None:
-        """Ids of ``middle`` between a piece known on its left and one on its right; None if the window does not agree with both."""
+        """Ids of ``middle`` between pieces known on its left and on its right; None if the window does not agree with both."""
         left, right = self.ids(last) if last else _NONE, self.ids(first) if first else _NONE
         key = (last, middle, first)
         window = self.get(key)
         if window is None:
             window = self.put(key, self.encode_all(last + middle + first), 3 * (len(last) + len(middle) + len(first)))
-        end = len(window) - len(right)
-        if end < len(left) or not np.array_equal(window[: len(left)], left) or not np.array_equal(window[end:], right):
-            return None
-        return window[len(left) : end]
+        return _between(window, left, right)
+
+    def widen(self, before: str, done: np.ndarray, middle: str, inside: str, ids: np.ndarray) -> np.ndarray | None:
+        """Ids of all of ``before``, ``middle`` and ``inside``, where ``done`` and ``ids`` are known of the first and the last.
+
+        The window takes one more piece on each side until it begins and ends with the ids of its outermost pieces and the known ids
+        go on from there. At the text's end (``inside`` empty) and at its beginning there is nothing to agree with; None where
+        the window would have to go beyond the inside.
+        """
+        pieces, after = PIECE.findall(before), PIECE.findall(inside)
+        n = self.reach
+        for k in range(n + 1, len(after) + 1 if inside else max(len(pieces), n) + 2):
+            start, end = "".join(pieces[-k:]) if k <= len(pieces) else before, "".join(after[:k])
+            a = self.ids("".join(pieces[len(pieces) - k : len(pieces) - k + n])) if k <= len(pieces) else _NONE
+            b = self.ids("".join(after[k - n : k])) if inside else _NONE
+            left, right = self.encode_all(start), self.encode_all(end)
+            cut = len(done) - len(left) if k <= len(pieces) else 0
+            if cut < 0 or len(right) > len(ids) or cut and not np.array_equal(done[cut:], left) or not np.array_equal(ids[: len(right)], right):
+                continue
+            inner = _between(self.encode_all(start + middle + end), a, b)
+            if inner is not None:
+                return np.concatenate([done[:cut], a, inner, b, ids[len(right) :]])
+        return None
 
-    def assemble(self, whole: bytes, chunks: list[bytes]) -> list[np.ndarray]:
+    def assemble(self, chunks: list[bytes]) -> list[np.ndarray]:
+        """The ids of a text that its chunks make up."""
         out, last, open_text = [], "", ""
-        for chunk in chunks:
-            head, ids, tail, first, final = self.prepare(chunk)
+        for k, chunk in enumerate([*chunks, b""]):  # after the last chunk comes the text's end
+            head, ids, tail, first, final = self.prepare(chunk) if chunk else ("", _NONE, "", "", "")
             open_text += head
             if ids is None:
                 continue
             middle = self.join(last, open_text, first)
-            if middle is None:
-                return [self.encode_all(whole.decode())]
-            out += [middle, ids]
+            if middle is not None:
+                out += [middle, ids]
+            else:
+                before = b"".join(chunks[:k]).decode() + head
+                inside = chunk.decode()[len(head) : len(chunk.decode()) - len(tail)]
+                wider = self.widen(before[: len(before) - len(open_text)], np.concatenate([_NONE, *out]), open_text, inside, ids)
+                if wider is None:  # the window takes the whole chunk in
+                    open_text += inside + tail
+                    continue
+                out = [wider]
             last, open_text = final, tail
-        middle = self.join(last, open_text, "")
-        if middle is None:
-            return [self.encode_all(whole.decode())]
-        return [*out, middle]
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, and each text's end among them."""
@@ -159,7 +197,7 @@ class Codec:
                 if c - places[-1] >= LEAST:
                     places.append(c)
             places.append(b)
-            mine = self.assemble(raw[a:b], [raw[x:y] for x, y in zip(places, places[1:])]) if b > a else []
+            mine = self.assemble([raw[x:y] for x, y in zip(places, places[1:])]) if b > a else []
             parts += mine
             sizes.append(sum(map(len, mine)))
         return np.concatenate(parts) if parts else _NONE, np.cumsum(sizes)
@@ -183,6 +221,14 @@ class Codec:
 _NONE = np.zeros(0, np.int32)
 
 
+def _between(window: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray | None:
+    """What stands between ``left`` and ``right`` in the window; None if it does not begin and end with them."""
+    end = len(window) - len(right)
+    if end < len(left) or not np.array_equal(window[: len(left)], left) or not np.array_equal(window[end:], right):
+        return None
+    return window[len(left) : end]
+
+
 def codec(path: str, cache_bytes: int = 48 << 20) -> Codec:
     if path not in _CODECS:
         _CODECS[path] = Codec(path, cache_bytes)

@@ -1,12 +1,14 @@
 import hashlib
+import json
 import random
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from faultline.llm import bpe_codec, chat_format, token_counts
+from faultline.llm import bpe_codec, chat_format, entry, token_counts
 
+DATA = "/root/testdata/sf0.001"
 PIECES = [" ", "  ", "\n", "\t", "a", "the", "ing", " of", "▁", "é", "ﬁ", "　", "\x1c", "<|endoftext|>", "<s>", "12", "!!", "'s", "日本", "😀", "\r\n", "\x85", "\xa0", " ", "​", "   \n"]
 ODD = [None, "", " ", "\n", "x" * 3000, "a b " * 4000, "<|endoftext|> <s> ▁", "日本語" * 500]
 
@@ -41,6 +43,48 @@ def test_codec(spark):
         assert got[k].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and got[k].n_tokens == len(ids)
 
 
+def test_joins_widen_until_they_agree(tmp_path):
+    """Special tokens that hold spaces lie across chunk ends, so that windows of one piece on each side do not agree."""
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        said = json.load(f)
+    top = max([*said["model"]["vocab"].values(), *(t["id"] for t in said["added_tokens"])])
+    plain = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+    said["added_tokens"] += [{"id": top + 1 + k, "content": x} | plain for k, x in enumerate(["one two three four", "x  y", "end of it"])]
+    path = tmp_path / "spaced.json"
+    path.write_text(json.dumps(said))
+    library, own, rnd = Tokenizer.from_file(str(path)), bpe_codec.Codec(str(path), 1 << 24), random.Random(6)
+    widened, whole = 0, own.widen
+
+    def counted(*args):
+        nonlocal widened
+        widened += 1
+        return whole(*args)
+
+    own.widen = counted
+    words = ["one", "two", "three", "four", "x ", " y", "end of it", "one two three four", "and", "\n", "é"]
+    for _ in range(60):
+        text = " ".join(rnd.choice(words) for _ in range(rnd.choice([3, 60, 900])))
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert own.encode(data, np.array([0, len(data)]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert widened > 20
+
+
+def test_the_codec_query(spark):
+    """Every whole text of the table, as the library encodes and decodes it."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    held = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = entry.QUERIES["op4_bpe_codec"](spark, DATA).collect()
+    assert len(rows) == len(held)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for r in rows:
+        ids = library.encode(held[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+
+
 def test_chunks_are_reused():
     own = bpe_codec.Codec(public_tokenizers.path("byte_bpe_50k.json"), 1 << 24)
     data = np.frombuffer(("every word of this passage is the same in both texts " * 60).encode() * 1, np.uint8)
