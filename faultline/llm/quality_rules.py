@@ -6,9 +6,10 @@ their id), grows a conjunction of thresholds by information gain on two thirds o
 removes what it covers and goes on until a rule is no longer precise there. ``condition`` gives the ordered CASE.
 
 Words are ``[^\x20\x09-\x0D]+``. A null or empty text has no words and fails the base rules. Null labels teach
-nothing; several labels of one id count as their least; without labels, or with one kind only, there are no rules and
-the base rules decide alone. Ties and repeated rows get equal verdicts; empty tables give no rows; further columns of
-``documents`` pass through ``keep`` untouched.
+nothing, nor do null ids; several labels of one id count as their least and several rows of an id teach as one, that with the least
+statistics; without labels, or with one kind only, there are no rules and the base rules decide alone. Rows are
+judged by themselves: ties, repeated rows, equal and null ids get equal verdicts for equal texts. Empty tables give no rows;
+further columns of ``documents`` pass through ``keep`` untouched. A text's word array and windows bound a task's memory.
 """
 
 from __future__ import annotations
@@ -27,8 +28,18 @@ def let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def _places(found: str) -> str:
+    """SQL: the words in windows of three that begin at the sorted places ``found``."""
+    return f"aggregate(transform({found}, (x, k) -> least(3L, coalesce(get(p, k + 1) - x, 3L))), 0L, (a, x) -> a + x)"
+
+
+def _window(place: str) -> str:
+    return f"slice(w, cast({place} as int) + 1, 3)"
+
+
 #: Words in 3-word windows found twice or more: windows become hashes that carry their place in the low bits, equal
-#: ones stand together after one primitive sort, and the places found are counted with their overlaps.
+#: ones stand together after one primitive sort, and the places found are counted with their overlaps. Neighbours of
+#: equal hashes are compared word by word; where two differ, the text's windows are sorted and compared as words instead.
 _REPEATED = let(
     "shiftleft(1L, length(bin(size(w)))) - 1L",
     "low",
@@ -36,9 +47,12 @@ _REPEATED = let(
         "sort_array(transform(sequence(0, size(w) - 3), i -> (xxhash64(w[i], w[i + 1], w[i + 2]) & ~low) | cast(i as bigint)))",
         "s",
         let(
-            "sort_array(transform(filter(s, (x, k) -> (x & ~low) = (get(s, k - 1) & ~low) or (x & ~low) = (get(s, k + 1) & ~low)), x -> x & low))",
-            "p",
-            "aggregate(transform(p, (x, k) -> least(3L, coalesce(get(p, k + 1) - x, 3L))), 0L, (a, x) -> a + x)",
+            "filter(s, (x, k) -> (x & ~low) = (get(s, k - 1) & ~low) or (x & ~low) = (get(s, k + 1) & ~low))",
+            "h",
+            f"""if(exists(transform(h, (x, k) -> (x & ~low) = (get(h, k + 1) & ~low) and {_window("x & low")} <> {_window("get(h, k + 1) & low")}), x -> x),
+                {let("sort_array(transform(sequence(0, size(w) - 3), i -> struct(slice(w, i + 1, 3) as v, cast(i as bigint) as i)))", "t",
+                    let("sort_array(transform(filter(t, (x, k) -> x.v <=> get(t, k - 1).v or x.v <=> get(t, k + 1).v), x -> x.i))", "p", _places("p")))},
+                {let("sort_array(transform(h, x -> x & low))", "p", _places("p"))})""",
         ),
     ),
 )
@@ -172,12 +186,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
         docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"))
         .join(F.broadcast(chosen), "_id")
         .select("_id", "_label", statistics("_text").alias("s"))
-        .select("_id", "_label", F.expr(BASE_FAILED).alias("failed"), *(F.expr(sql).alias(name) for name, sql in FEATURES.items()))
-        .orderBy(F.xxhash64("_id"), "_id", "_label", *FEATURES)
-        .limit(4 * sample_rows)
+        .where(f"not ({BASE_FAILED})")
+        .groupBy("_id", "_label")
+        .agg(F.min(F.struct(*(F.expr(sql).alias(name) for name, sql in FEATURES.items()))).alias("x"))
+        .select("_label", "x.*", F.xxhash64("_id").alias("_hash"), "_id")
+        .orderBy("_hash", "_id")
         .collect()
     )
-    rows = [r for r in rows if not r.failed]
     x = np.array([[r[name] for name in FEATURES] for r in rows], float).reshape(-1, len(FEATURES))
     return cover(x, np.array([r["_label"] == 0 for r in rows], bool))
 

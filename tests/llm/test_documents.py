@@ -46,6 +46,33 @@ def test_quality_statistics(spark):
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) == (not r.kept)
 
 
+def test_statistics_stay_exact_when_hashes_collide(spark, monkeypatch):
+    """With a hash of a few values nearly all windows collide; long texts and random ones must give the same counts."""
+    rnd = random.Random(8)
+    values = [*ODD, "a b c " * 30_000, *(" ".join(rnd.choice("abcd") for _ in range(n)) for n in (3, 4, 7, 40, 300) for _ in range(6))]
+    weak = quality_rules._STATISTICS.replace("xxhash64(w[i], w[i + 1], w[i + 2])", "shiftleft(pmod(xxhash64(w[i], w[i + 1], w[i + 2]), 5L), 40)")
+    assert weak != quality_rules._STATISTICS
+    for sql in (quality_rules._STATISTICS, weak):
+        monkeypatch.setattr(quality_rules, "_STATISTICS", sql)
+        for r in quality_rules.score(frame(spark, values), []).collect():
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_statistics(values[r.doc_id])
+
+
+def test_the_quality_query(spark):
+    """Base columns of every whole text by brute force, and the learned verdicts by the rules' own conditions in Python."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "labels"))
+    rules, held = quality_rules.learn(docs, labels), {r.doc_id: r.text for r in docs.collect()}
+    rows = entry.QUERIES["op6_quality_rules"](spark, DATA).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(held)
+    x = {r.doc_id: r for r in docs.select("doc_id", quality_rules.statistics("text").alias("s")).select("doc_id", *(F.expr(q).alias(n) for n, q in quality_rules.FEATURES.items())).collect()}
+    for r in rows:
+        want = brute_statistics(held[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        one = np.array([[x[r.doc_id][n] for n in quality_rules.FEATURES]])
+        assert r.kept == (not r.base_failed and not any(quality_rules._covered(rule, one)[0] for rule in rules))
+
+
 def test_quality_rules_learn(spark):
     good = [" ".join(f"w{(k * 7 + j * 13) % 997}x{j}." for j in range(80)) for k in range(60)]
     bad = [x.replace(".", "#$%!!") for x in good]
@@ -54,6 +81,8 @@ def test_quality_rules_learn(spark):
     rules = quality_rules.learn(docs, labels)
     assert rules and {r.doc_id for r in quality_rules.keep(docs, rules).collect()} == set(range(60))
     assert quality_rules.keep(docs, rules).columns == docs.columns and quality_rules.learn(docs, labels.limit(0)) == []
+    twice = docs.unionAll(docs.where("doc_id % 3 = 0")).unionAll(docs.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long"))).repartition(5)
+    assert quality_rules.learn(twice, labels) == rules
 
 
 def shingles(text, width):
