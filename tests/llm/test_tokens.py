@@ -31,6 +31,31 @@ def test_counts(spark):
     assert token_counts.count_tokens(frame(spark, []), path).count() == 0
 
 
+def test_long_pre_tokens_and_collisions(spark, monkeypatch):
+    """Texts without spaces go to no table; with hashes of a few bits table hits are told apart by their bytes."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, values = token_counts.processor(path), ["x" * 200_000, "日本語" * 30_000, "a" * 64 + " b", "a" * 63 + " b", "a  b\n" * 50_000, None]
+    for _ in range(2):
+        got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(frame(spark, values * 2), path, table_size=10, slice_bytes=1000).collect()}
+        assert [got[k] for k in range(6)] == [got[k + 6] for k in range(6)] == [len(model.encode(x or "")) for x in values]
+    assert all(len(t) <= token_counts.LONGEST for t in token_counts.frequent(frame(spark, values), "text", 1000))
+    table = token_counts.Table.build([b" the", b" of", b"\n"], [1, 1, 1])
+    raw = b" other"
+    own = token_counts.Lengths(path, table)
+    assert own.look_up(raw, np.array([0]), np.array([6]), table.hashes[:1]).tolist() == own.encoded([raw])
+
+
+def test_the_count_query(spark):
+    """Every whole text of the table, as the library counts it."""
+    model = token_counts.processor(public_tokenizers.path("piece_bpe_32k.model"))
+    held = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = entry.QUERIES["op3_token_counts"](spark, DATA).collect()
+    assert len(rows) == len(held)
+    for r in rows:
+        n = len(model.encode(held[r.doc_id]))
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(held[r.doc_id].encode()), n, n > 4096)
+
+
 def test_codec(spark):
     from tokenizers import Tokenizer
 
