@@ -1,14 +1,18 @@
 r"""Operator 1, quality classifier: attention-based multiple-instance learning.
 
-A text is a bag of passages of ``PASSAGE_WORDS`` words. Each passage is encoded (a layer over its statistics), gated
-attention weighs the codes (softmax of w . (tanh(V h) * sigmoid(U h)), Ilse et al. 2018), and a logistic unit scores the
-weighted sum. Encoder, gates and scorer are trained together from document labels on the driver, on ``sample_rows``
-labelled texts at most (those with the least hash of their id); scoring streams whole texts past the broadcast weights
-(a few kilobytes). Nothing but the chosen ids is shuffled.
-
-A null, empty or blank text has no passages and scores 0. Null labels teach nothing; several labels of one id count as
-their least; without labels of both kinds every text with words scores the share of label 1 (0.5 without any label).
-Ties and repeated rows get equal scores; empty tables give no rows; extra columns are not read.
+A text is a bag of passages of ``PASSAGE_WORDS`` words. Each passage is encoded from what it says: hashed words and hashed
+runs of three bytes (signed square roots of counts, of unit length) go through a learned projection, beside some statistics of its form.
+Gated attention weighs the codes (softmax of w . (tanh(V h) * sigmoid(U h)), Ilse et al. 2018), and a logistic unit scores
+the weighted sum. Projection, gates and scorer are trained together from document labels on the driver, on ``sample_rows``
+labelled ids at most (those with the least hash) and ``sample_passages`` passages of each at most, evenly spread over its
+text (2 KB each). Scoring streams whole texts past the broadcast weights (some 70 KB). Nothing but the chosen ids and their
+passages is shuffled.
+
+A null, empty or blank text has no passages and scores 0. Null labels and null ids teach nothing; several labels of one id count as
+their least and several rows of an id teach as one, that with the least features; without labels of both kinds every text with words scores the share
+of label 1 (0.5 without any label). Rows are scored by themselves: ties, repeated rows, equal and null ids get equal scores for equal texts;
+empty tables give no rows; extra columns are not read. Passages are encoded in blocks, so the longest text bounds a
+task's memory, at some 60 bytes for each of its own.
 """
 
 from __future__ import annotations
@@ -24,22 +28,54 @@ from pyspark.sql import functions as F
 from faultline.llm.common import mix, slices, span_hashes, table, text_column, word_spans
 
 PASSAGE_WORDS = 64
+WORD_BUCKETS, GRAM_BUCKETS, BLOCK = 512, 512, 2048
 _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "mark": b"#*$%&|<>", "cry": b"!", "stop": b".?", "comma": b",;:", "line": b"\n", "other": range(128, 192)}
 _CLASS = np.zeros(256, np.uint8)
 for _k, _bytes in enumerate(_CLASSES.values()):
     _CLASS[list(_bytes)] = _k + 1
-#: Capital letters of Latin-1 as the second byte after 0xC3.
-FEATURES = len(_CLASSES) + 7
+FORM = len(_CLASSES) + 7
+FEATURES = WORD_BUCKETS + GRAM_BUCKETS + FORM
 
 
-def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics of each passage of a slice (rows), and for each text the number of passages before it (n + 1 values)."""
+@dataclass
+class Passages:
+    """The passages of a slice: statistics of form, their words' and bytes' spans, and for each text the number of passages before it (n + 1 values)."""
+
+    form: np.ndarray
+    bag: np.ndarray
+    words: np.ndarray  # bucket and sign of each word
+    grams: np.ndarray  # bucket and sign of the run of three bytes that begins at each byte
+    word_at: np.ndarray  # first word of each passage, and one more
+    byte_at: np.ndarray  # first byte and end of each passage
+
+    def block(self, a: int, b: int) -> np.ndarray:
+        """The features of passages a .. b - 1."""
+        out = np.empty((b - a, FEATURES), np.float32)
+        out[:, WORD_BUCKETS + GRAM_BUCKETS :] = self.form[a:b]
+        sizes = self.byte_at[a:b, 1] - self.byte_at[a:b, 0] - 2  # runs that end within the passage
+        sizes = np.maximum(0, sizes)
+        for held, begins, counts, at, width in ((self.words, self.word_at[a:b], np.diff(self.word_at[a : b + 1]), 0, WORD_BUCKETS), (self.grams, self.byte_at[a:b, 0], sizes, WORD_BUCKETS, GRAM_BUCKETS)):
+            who = np.repeat(np.arange(b - a), counts)
+            x = held[np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(len(who))]
+            sums = np.bincount(who * width + (x >> 1), weights=1.0 - 2.0 * (x & 1), minlength=(b - a) * width).reshape(b - a, width)
+            sums = np.sign(sums) * np.sqrt(np.abs(sums))
+            out[:, at : at + width] = sums / np.maximum(1e-6, np.linalg.norm(sums, axis=1, keepdims=True))
+        return out
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and sign of hashes in one number."""
+    return (hashes >> np.uint64(64 - (2 * buckets - 1).bit_length())).astype(np.int64)
+
+
+def passages(data: np.ndarray, offsets: np.ndarray) -> Passages:
     starts, ends, first = word_spans(data, offsets)
     words = np.diff(first)
     per_text = -(-words // PASSAGE_WORDS)
     bag = np.concatenate([[0], np.cumsum(per_text)])
     if not bag[-1]:
-        return np.zeros((0, FEATURES), np.float32), bag
+        none = np.zeros(0, np.int64)
+        return Passages(np.zeros((0, FORM), np.float32), bag, none, none, np.zeros(1, np.int64), np.zeros((0, 2), np.int64))
     text = np.repeat(np.arange(len(words)), per_text)
     begin = first[text] + PASSAGE_WORDS * (np.arange(bag[-1]) - bag[text])  # first word of each passage
     n = np.minimum(PASSAGE_WORDS, first[text + 1] - begin).astype(np.float64)
@@ -75,7 +111,9 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         seen[np.unique(rolled, return_index=True)[1]] = False
         out.append(mean(seen))
     out += [np.log1p(n) / 5, np.log1p(words[text]) / 10]
-    return np.stack(out, axis=1).astype(np.float32), bag
+    padded = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.uint64)
+    runs = mix(padded[:-2] | padded[1:-1] << np.uint64(8) | padded[2:] << np.uint64(16))
+    return Passages(np.stack(out, axis=1).astype(np.float32), bag, _bucket(h, WORD_BUCKETS), _bucket(runs, GRAM_BUCKETS), np.append(begin, len(h)), np.stack([a, b], axis=1))
 
 
 def _by_bag(x: np.ndarray, bag: np.ndarray) -> np.ndarray:
@@ -89,10 +127,13 @@ class Model:
     weights: dict[str, np.ndarray] | None
     prior: float
 
-    def forward(self, x: np.ndarray, bag: np.ndarray) -> dict[str, np.ndarray]:
-        """All layers over non-empty bags; x: standardized statistics."""
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        """Codes of standardized passages."""
+        return np.tanh(x @ self.weights["E"] + self.weights["e"])
+
+    def forward(self, h: np.ndarray, bag: np.ndarray) -> dict[str, np.ndarray]:
+        """All layers over non-empty bags of codes."""
         w, text = self.weights, np.repeat(np.arange(len(bag) - 1), np.diff(bag))
-        h = np.tanh(x @ w["E"] + w["e"])
         t, g = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
         s = (t * g) @ w["w"]
         s = np.exp(s - np.maximum.reduceat(s, bag[:-1])[text])
@@ -101,28 +142,36 @@ class Model:
         return {"text": text, "h": h, "t": t, "g": g, "a": a, "z": z, "p": 1 / (1 + np.exp(-(z @ w["c"] + w["d"])))}
 
     def standard(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -6, 6).astype(np.float32)
+        """With the statistics of form centred and scaled; hashed parts have unit length already."""
+        x = x.copy()
+        x[:, -FORM:] = np.clip((x[:, -FORM:] - self.mean) / self.scale, -6, 6)
+        return x
 
-    def score(self, x: np.ndarray, bag: np.ndarray) -> np.ndarray:
+    def score(self, held: Passages) -> np.ndarray:
         """A score for each bag, 0 for one without passages."""
+        bag = held.bag
         out, full = np.zeros(len(bag) - 1), np.flatnonzero(np.diff(bag))
-        if len(full):
-            out[full] = self.prior if self.weights is None else self.forward(self.standard(x), np.append(bag[full], bag[-1]))["p"]
+        if len(full) and self.weights is None:
+            out[full] = self.prior
+        elif len(full):
+            codes = np.concatenate([self.encode(self.standard(held.block(k, min(k + BLOCK, bag[-1])))) for k in range(0, bag[-1], BLOCK)])
+            out[full] = self.forward(codes, np.append(bag[full], bag[-1]))["p"]
         return out
 
     @staticmethod
-    def fit(x: np.ndarray, bag: np.ndarray, y: np.ndarray, *, hidden: int = 16, gate: int = 8, turns: int = 400, rate: float = 0.02, l2: float = 1e-4, seed: int = 1) -> Model:
+    def fit(x: np.ndarray, bag: np.ndarray, y: np.ndarray, *, hidden: int = 16, gate: int = 8, turns: int = 150, rate: float = 0.01, l2: float = 1e-4, seed: int = 1) -> Model:
         """Adam over all bags at once; y: 0 or 1, one for each non-empty bag."""
-        model = Model(x.mean(axis=0) if len(x) else np.zeros(FEATURES), (x.std(axis=0) if len(x) else np.ones(FEATURES)) + 1e-3, None, float(y.mean()) if len(y) else 0.5)
+        form = x[:, -FORM:].astype(np.float32)
+        model = Model(form.mean(axis=0) if len(x) else np.zeros(FORM), (form.std(axis=0) if len(x) else np.ones(FORM)) + 1e-3, None, float(y.mean()) if len(y) else 0.5)
         if not len(y) or y.min() == y.max():
             return model
         rng = np.random.default_rng(seed)
         shapes = {"E": (x.shape[1], hidden), "e": (hidden,), "V": (hidden, gate), "U": (hidden, gate), "w": (gate,), "c": (hidden,), "d": ()}
         w = {k: (rng.normal(0, 1 / np.sqrt(s[0]), s) if len(s) == 2 or k in "wc" else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
-        model.weights, x = w, model.standard(x)
+        model.weights, x = w, model.standard(x.astype(np.float32))
         m, v = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}
         for turn in range(1, turns + 1):
-            f = model.forward(x, bag)
+            f = model.forward(model.encode(x), bag)
             dp = ((f["p"] - y) / len(y)).astype(np.float32)
             dz = dp[:, None] * w["c"]
             through = (f["h"] * dz[f["text"]]).sum(axis=1)  # by each passage's weight
@@ -139,7 +188,7 @@ class Model:
         return model
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, *, id_column: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = 4_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, *, id_column: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = 4_000, sample_passages: int = 16) -> Model:
     """A model from the texts of labelled ids; ``allowed``: a condition on ``_id``, the id of a label."""
     known = labels.select(F.col(id_column).alias("_id"), F.col(label).alias("_label")).where("_id is not null and _label is not null")
     known = known.where(allowed) if allowed is not None else known
@@ -148,17 +197,20 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, *,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in slices(text_column(batch, "_text")):
-                x, bag = passages(data, offsets)
-                rows = [x[a:b].astype(np.float32).tobytes() for a, b in zip(bag, bag[1:])]
+                held, rows = passages(data, offsets), []
+                for a, b in zip(held.bag[:-1].tolist(), held.bag[1:].tolist()):
+                    some = np.unique(np.linspace(a, b - 1, min(sample_passages, b - a)).astype(int)) if b > a else []
+                    rows.append(np.concatenate([np.zeros((0, FEATURES)), *(held.block(k, k + 1) for k in some)]).astype(np.float16).tobytes())
                 yield pa.record_batch([*(c.slice(first, end - first) for c in batch.columns[:2]), pa.array(rows, pa.binary())], names=["_id", "_label", "x"])
 
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
     kind = labels.schema[id_column].dataType.simpleString()
     found = texts.select("_id", F.col("_label").cast("double").alias("_label"), "_text").mapInArrow(run, f"_id {kind}, _label double, x binary")
-    rows = sorted(((str(r["_id"]), r["_label"], bytes(r.x)) for r in found.collect() if r.x))
-    bags = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for _, _, x in rows]
+    once = found.where("x <> X''").groupBy("_id", "_label").agg(F.min("x").alias("x"))
+    rows = sorted((str(r["_id"]), r["_label"], bytes(r.x)) for r in once.toLocalIterator())
+    bags = [np.frombuffer(x, np.float16).reshape(-1, FEATURES) for _, _, x in rows]
     bag = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(int)
-    return Model.fit(np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32), bag, np.array([y for _, y, _ in rows], np.float32))
+    return Model.fit(np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float16), bag, np.array([y for _, y, _ in rows], np.float32))
 
 
 def score(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,7 +221,7 @@ def score(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text: str
         own = shared.value
         for batch in batches:
             for first, end, data, offsets in slices(text_column(batch, text)):
-                yield pa.record_batch([batch.column(0).slice(first, end - first), pa.array(own.score(*passages(data, offsets)), pa.float64())], names=[id_column, "score"])
+                yield pa.record_batch([batch.column(0).slice(first, end - first), pa.array(own.score(passages(data, offsets)), pa.float64())], names=[id_column, "score"])
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(id_column, text).mapInArrow(run, f"`{id_column}` {kind}, score double")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.llm import decontamination, entry, language_id, near_dedup, quality_classifier, quality_rules
+from faultline.llm.common import mix, span_hashes, word_spans
 from tests.oracle import connect, same
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -336,6 +337,52 @@ def test_quality_classifier(spark):
     rows = quality_classifier.score(docs, model).join(labels, "doc_id").where(quality_classifier.held_out("doc_id")).collect()
     good, bad = [r.score for r in rows if r.quality == 1], [r.score for r in rows if r.quality == 0]
     assert np.mean([a > b for a in good for b in bad]) > 0.95
-    odd = {r.doc_id: r.score for r in quality_classifier.score(frame(spark, ODD, "quality double, s string"), model).collect()}
+    values = [*ODD, "word " * 200_000, "no-spaces" * 50_000, "é"]
+    odd = {r.doc_id: r.score for r in quality_classifier.score(frame(spark, values, "quality double, s string"), model).collect()}
     assert odd[0] == odd[1] == odd[2] == 0 and all(0 <= x <= 1 for x in odd.values())
     assert quality_classifier.train(docs, labels.limit(0)).prior == 0.5
+
+
+def plain_score(model, text):
+    """The score of one text, passage by passage, with counts in dictionaries and sums in loops."""
+    data, w = np.frombuffer((text or "").encode(), np.uint8), model.weights
+    starts, ends, _ = word_spans(data, np.array([0, len(data)]))
+    form, codes = quality_classifier.passages(data, np.array([0, len(data)])).form, []
+    for k in range(0, len(starts), quality_classifier.PASSAGE_WORDS):
+        words = list(zip(starts, ends))[k : k + quality_classifier.PASSAGE_WORDS]
+        begin, end = words[0][0], starts[k + len(words)] if k + len(words) < len(starts) else len(data)
+        said = [span_hashes(data, np.array([a]), np.array([b]))[0] for a, b in words]
+        runs = [mix(np.array([int(data[j]) | int(data[j + 1]) << 8 | int(data[j + 2]) << 16], np.uint64))[0] for j in range(begin, end - 2)]
+        parts = []
+        for hashes, n in ((said, quality_classifier.WORD_BUCKETS), (runs, quality_classifier.GRAM_BUCKETS)):
+            sums = [0.0] * n
+            for h in hashes:
+                top = int(h) >> (64 - (2 * n - 1).bit_length())
+                sums[top >> 1] += -1 if top & 1 else 1
+            roots = [np.sign(x) * abs(x) ** 0.5 for x in sums]
+            parts += [x / max(1e-6, sum(y * y for y in roots) ** 0.5) for x in roots]
+        parts += np.clip((form[k // quality_classifier.PASSAGE_WORDS] - model.mean) / model.scale, -6, 6).tolist()
+        codes.append(np.tanh(np.array(parts) @ w["E"] + w["e"]))
+    if not codes:
+        return 0.0
+    gates = [float(sum(np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["U"]))) * w["w"])) for h in codes]
+    weights = [np.exp(g) / sum(np.exp(x) for x in gates) for g in gates]
+    return float(1 / (1 + np.exp(-(sum(a * h for a, h in zip(weights, codes)) @ w["c"] + w["d"]))))
+
+
+def test_the_classifier_query(spark):
+    """Scores one text at a time in plain loops, and the learned model's held-out accuracy."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality_classifier.train(docs, labels, ~quality_classifier.held_out("_id"))
+    again = docs.unionAll(docs.where("doc_id % 2 = 0")).unionAll(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))).repartition(5)
+    twice = quality_classifier.train(again, labels, ~quality_classifier.held_out("_id"))
+    assert all(np.array_equal(model.weights[k], twice.weights[k]) for k in model.weights)
+    held, quality = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.quality for r in labels.collect()}
+    rows = entry.QUERIES["op1_quality_classifier"](spark, DATA).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(held)
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3)
+        if len(held[r.doc_id] or "") < 6000:
+            assert abs(r.score - plain_score(model, held[r.doc_id])) < 1e-4
+    known = [(r.predicted, quality[r.doc_id]) for r in rows if r.held_out and quality.get(r.doc_id) is not None]
+    assert np.mean([a == b for a, b in known]) > 0.9
