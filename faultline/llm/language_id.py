@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,7 +78,8 @@ def features(texts: list[str]) -> Iterator[np.ndarray]:
 
 
 def hinge_machine(x: np.ndarray, y: np.ndarray, turns: int = 150, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Linear support vector machine (squared hinge, classes weighted alike) by accelerated gradient steps. y: 1 or -1."""
+    """Linear support vector machine (squared hinge, classes weighted alike) by accelerated gradient steps. y: 1 or -1. ``x`` may be kept in half precision."""
+    x = x.astype(np.float32, copy=False)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     v, c = w.copy(), b
@@ -164,12 +166,12 @@ def calibrate(x: np.ndarray, languages: np.ndarray) -> float:
 
     Equal texts share a fold. 0 if no such text is there.
     """
-    fold = np.array([zlib.crc32(v.astype(np.float16).tobytes()) & 1 for v in x], np.int64)
+    fold = np.array([zlib.crc32(v.tobytes()) & 1 for v in x], np.int64)
     found = []
     for k in (0, 1):
         own = Model.fit(x[fold == k], languages[fold == k])
         if own.family is not None:
-            said = zip(languages[fold != k].tolist(), map(own.parts, x[fold != k]))
+            said = ((languages[j], own.parts(x[j].astype(np.float32))) for j in np.flatnonzero(fold != k))
             found += [min(p, q) for truth, (name, p, q) in said if name == truth]
     if not found:
         return 0.0
@@ -201,9 +203,11 @@ def train(docs: DataFrame, allowed: Column, *, id_column: str = "doc_id", text:
     texts = docs.where(allowed).select(F.col(id_column).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).join(F.broadcast(chosen), ["_id", "_lang"], "left_semi")
     kinds = ", ".join(f"{a} {docs.schema[b].dataType.simpleString()}" for a, b in (("_id", id_column), ("_lang", lang)))
     once = texts.mapInArrow(run, f"{kinds}, x binary").groupBy("_id", "_lang").agg(F.min("x").alias("x"))
-    rows = sorted((r["_lang"], bytes(r.x)) for r in once.select("_lang", "x").collect())
-    x = np.array([np.frombuffer(r[1], np.float16) for r in rows], np.float32).reshape(len(rows), DIMENSIONS)
-    languages = np.array([r[0] for r in rows], object)
+    held = once.toArrow()
+    held = held.take(pc.sort_indices(held, [("_lang", "ascending"), ("_id", "ascending")])).combine_chunks()
+    column = held.column("x").combine_chunks()
+    x = np.frombuffer(b"" if not len(held) else column.buffers()[2], np.float16)[: len(held) * DIMENSIONS].reshape(len(held), DIMENSIONS)
+    languages = np.array(held.column("_lang").to_pylist(), object)
     model = Model.fit(x, languages)
     if calibrated:
         model.floor = calibrate(x, languages)

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,8 +143,8 @@ class Model:
         return {"text": text, "h": h, "t": t, "g": g, "a": a, "z": z, "p": 1 / (1 + np.exp(-(z @ w["c"] + w["d"])))}
 
     def standard(self, x: np.ndarray) -> np.ndarray:
-        """With the statistics of form centred and scaled; hashed parts have unit length already."""
-        x = x.copy()
+        """A copy with the statistics of form centred and scaled; hashed parts have unit length already."""
+        x = x.astype(np.float32)
         x[:, -FORM:] = np.clip((x[:, -FORM:] - self.mean) / self.scale, -6, 6)
         return x
 
@@ -168,7 +169,7 @@ class Model:
         rng = np.random.default_rng(seed)
         shapes = {"E": (x.shape[1], hidden), "e": (hidden,), "V": (hidden, gate), "U": (hidden, gate), "w": (gate,), "c": (hidden,), "d": ()}
         w = {k: (rng.normal(0, 1 / np.sqrt(s[0]), s) if len(s) == 2 or k in "wc" else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
-        model.weights, x = w, model.standard(x.astype(np.float32))
+        model.weights, x = w, model.standard(x)
         m, v = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}
         for turn in range(1, turns + 1):
             f = model.forward(model.encode(x), bag)
@@ -207,10 +208,12 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, *,
     kind = labels.schema[id_column].dataType.simpleString()
     found = texts.select("_id", F.col("_label").cast("double").alias("_label"), "_text").mapInArrow(run, f"_id {kind}, _label double, x binary")
     once = found.where("x <> X''").groupBy("_id", "_label").agg(F.min("x").alias("x"))
-    rows = sorted((str(r["_id"]), r["_label"], bytes(r.x)) for r in once.toLocalIterator())
-    bags = [np.frombuffer(x, np.float16).reshape(-1, FEATURES) for _, _, x in rows]
-    bag = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(int)
-    return Model.fit(np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float16), bag, np.array([y for _, y, _ in rows], np.float32))
+    held = once.toArrow()
+    held = held.take(pc.sort_indices(held, [("_id", "ascending")])).combine_chunks()
+    column = held.column("x").combine_chunks()
+    bag = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))]).astype(int) // (2 * FEATURES)
+    x = np.frombuffer(b"" if not len(held) else column.buffers()[2], np.float16)[: bag[-1] * FEATURES].reshape(bag[-1], FEATURES)
+    return Model.fit(x, bag, held.column("_label").to_numpy().astype(np.float32))
 
 
 def score(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -186,9 +186,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
         docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"))
         .join(F.broadcast(chosen), "_id")
         .select("_id", "_label", statistics("_text").alias("s"))
-        .where(f"not ({BASE_FAILED})")
         .groupBy("_id", "_label")
-        .agg(F.min(F.struct(*(F.expr(sql).alias(name) for name, sql in FEATURES.items()))).alias("x"))
+        .agg(F.min(F.struct(F.expr(BASE_FAILED).alias("failed"), *(F.expr(sql).alias(name) for name, sql in FEATURES.items()))).alias("x"))
+        .where("not x.failed")
         .select("_label", "x.*", F.xxhash64("_id").alias("_hash"), "_id")
         .orderBy("_hash", "_id")
         .collect()
