@@ -254,9 +254,9 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text: str = "
             found = components(scratch, links, f"c{turn}")
         open_rows = now.where("node <> centre").select("bucket", "node", "fame", "pivot")
 
-    named_by = nodes.select("s1", "s2", "node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named_by.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    member = named_by.join(least, "component").select("s1", "s2", "component_id")
+    of = found.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = found.join(of, "component").select("node", "component_id")
+    member = nodes.select("s1", "s2", "node", "doc_id").join(linked, "node", "left").select("s1", "s2", F.coalesce("component_id", "doc_id").alias("component_id"))
     own_id = F.expr("if(n_shingles > 0 and doc_id is not null, component_id, doc_id)").alias("component_id")
     labelled = marks.select("doc_id", "n_shingles", "s1", "s2").join(member, ["s1", "s2"], "left").select("doc_id", "n_shingles", own_id).withColumn("kept", F.expr("doc_id <=> component_id"))
     out = scratch.save(labelled, "labelled")
