@@ -1,16 +1,19 @@
 import json
+import urllib.error
 import zipfile
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from faultline import vocabulary as v
+from faultline.functions.text import first_evidence
 from faultline.operators import causal, cases, extraction, fusion, graph, privacy, votes
 from faultline.plans.pipeline import STAGES, Run, run_stages
 from faultline.settings import Causal, Extraction, Fusion, Settings, load_settings
 from faultline.sources import documents, jsonl
 from faultline.sources import graph as sinks
-from faultline.sources.ports import DryRun, HashEmbedder, HttpService
+from faultline.sources.ports import DryRun, HashEmbedder, HttpService, evidence_of
 from faultline.streaming import resume
 
 PARAGRAPHS = ["前言说明", "【案例1】 示例坍塌事故", "【事故类别】坍塌", "直接原因：未设置支护", "【补充】现场无人巡查", "第二章 其他", "事故案例 2-1", "示例触电事故", "时间： 2001年1月1日"]
@@ -61,7 +64,8 @@ def test_privacy(spark):
     rows = privacy.anonymize(df).orderBy("n").collect()
     assert [tuple(r)[:3] for r in rows] == [("死者A在基坑作业。", "死者A未系安全带", ["死者A"]), ("伤者A在现场。", None, None)]
     assert privacy.report(privacy.anonymize(df)).first().n_persons == 2
-    assert privacy.mask_record({"raw_text": "某某水电有限公司", "k": "张某"}) == {"raw_text": privacy.Masker().text("某某水电有限公司"), "k": "张某", "privacy_status": "anonymized"}
+    both = privacy.anonymize(spark.createDataFrame([("某某水电有限公司", "张某")], "raw_text string, k string")).first()
+    assert (both.raw_text, both.k, both.privacy_status) == (privacy.Masker().text("某某水电有限公司"), "张某", "anonymized")
     letters = privacy.Masker()
     assert [letters.name("person", str(k), "P") for k in range(28)][-3:] == ["PZ", "P27", "P28"]
 
@@ -201,6 +205,39 @@ class Memory:
         assert all(r["source_id"] for r in rows)
 
 
+def test_service_tries_again_within_bounds(monkeypatch):
+    service, waits, said = HttpService(replace(Settings().service, api_key="k", base_url="http://x", max_retries=4)), [], []
+    monkeypatch.setattr("time.sleep", waits.append)
+    answers = [OSError("lost"), {"choices": []}, urllib.error.HTTPError("u", 503, "busy", {}, None), {"choices": [{"message": {"content": "{\"a\": 1}"}}]}]
+
+    def post(path, body):
+        said.append(path)
+        x = answers.pop(0)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    monkeypatch.setattr(service, "_post", post)
+    assert service.json_chat("p") == {"a": 1} and waits == [1, 2, 4] and not answers
+    answers += [urllib.error.HTTPError("u", 401, "no", {}, None)]
+    with pytest.raises(RuntimeError):
+        service.json_chat("p")
+    answers += [OSError("lost")] * 4
+    with pytest.raises(RuntimeError):
+        service.json_chat("p")
+    assert len(said) == 9
+
+
+def test_dry_run_answers(spark):
+    asked = '"question_id": "Q1" "entity_type": "" "relation_type": "leadTo"\n事故文本： 短。\n现场未设置支护导致坍塌。其后'
+    got = DryRun().json_chat(asked)
+    assert (got["question_id"], got["entity_type"], got["relation_type"], got["answer"], got["evidence_text"]) == ("Q1", "UnsafeObjectState", "leadTo", "yes", "现场未设置支护导致坍塌")
+    assert DryRun().json_chat("事故文本：平安")["answer"] == "no" and DryRun().json_chat("事故文本：平安")["question_id"] == "DRY_RUN"
+    texts = [asked, "没有标记的一段话在这里", "事故文本：" + "长" * 300, "事故文本：a。b"]
+    by_column = spark.createDataFrame([(t,) for t in texts], "t string").select(first_evidence(F.col("t")).alias("e")).collect()
+    assert [r.e for r in by_column] == [evidence_of(t) for t in texts]
+
+
 def test_graph_store(spark, tmp_path):
     nodes = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "z", 3)], "id string, name string, seq long")
     edges = spark.createDataFrame([("a", "t", "b", 1), ("a", "t", "b", 2), ("a", "t", "gone", 3)], "source_id string, type string, target_id string, seq long")
