@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -146,17 +147,27 @@ def name_normalize(part):
     return part.select("p_partkey", t.normalize_name(F.col("p_name"), F.col("p_type"), aliases=PART_ALIASES, suffixes=PART_SUFFIXES).alias("name"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '<mail>', 'g'), '[0-9]{3,}', '<number>', 'g') = text AS unchanged, length(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '<mail>', 'g'), '[0-9]{3,}', '<number>', 'g'))::BIGINT AS n FROM documents")
-def mask_pattern(documents):
-    masked = F.regexp_replace(F.regexp_replace("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "<mail>"), "[0-9]{3,}", "<number>")
-    return documents.select("doc_id", (masked == F.col("text")).alias("unchanged"), F.length(masked).cast("bigint").alias("n"))
-
-
-@query()
+@query("SELECT doc_id, md5(text) AS masked, 'anonymized' AS privacy_status, 0::BIGINT AS n_persons FROM documents")
 def anonymize_text(documents):
+    """Texts without Han characters have no name that the patterns know."""
     return privacy.anonymize(documents.select("doc_id", F.col("text").alias("raw_text"))).select("doc_id", F.md5("raw_text").alias("masked"), "privacy_status", "n_persons")
 
 
+@query("""WITH k AS (SELECT c_custkey, substr('张王李赵刘陈杨', (c_custkey % 7 + 1)::INT, 1) AS a, substr('周吴郑孙胡', (c_custkey % 5 + 1)::INT, 1) AS b, c_custkey % 3 AS m FROM customer)
+SELECT c_custkey, CASE m WHEN 0 THEN '死者A在' ELSE '伤者A在' END || c_custkey || '号基坑作业。' || CASE WHEN m = 2 THEN '管理人员B未巡查。' ELSE '伤者B因坠落送医。' END || CASE m WHEN 0 THEN '死者A' ELSE '伤者A' END || '未系安全带。' AS masked,
+  CASE m WHEN 0 THEN '死者A' ELSE '伤者A' END AS title, 2::BIGINT AS n_persons FROM k""")
+def anonymize_names(customer):
+    """Two persons in roles; the first is met again, in the text and in another field."""
+    def pick(names: str, n: int):
+        return F.substring(F.lit(names), (F.col("c_custkey") % n + 1).cast("int"), F.lit(1))
+
+    first, second, kind = F.concat(pick("张王李赵刘陈杨", 7), F.lit("某")), F.concat(pick("周吴郑孙胡", 5), F.lit("某")), F.col("c_custkey") % 3
+    role = F.when(kind == 0, "死者").otherwise("伤者")
+    other = F.when(kind == 2, F.concat(F.lit("管理人员"), second, F.lit("未巡查。"))).otherwise(F.concat(F.lit("伤者"), second, F.lit("因坠落送医。")))
+    told = F.concat(role, first, F.lit("在"), F.col("c_custkey").cast("string"), F.lit("号基坑作业。"), other, first, F.lit("未系安全带。"))
+    return privacy.anonymize(customer.select("c_custkey", told.alias("raw_text"), first.alias("title"))).select("c_custkey", F.col("raw_text").alias("masked"), "title", "n_persons")
+
+
 @query("""SELECT printf('%02d:%02d:%02d', (s // 3600)::INT, (s % 3600 // 60)::INT, (s % 60)::INT) AS hms, event_id FROM (SELECT event_id, round_even(greatest(value * 100, 0), 0)::BIGINT AS s FROM events)""")
 def elapsed_times(events):
     return events.select("event_id", t.hms(F.col("value") * 100).alias("hms"))
@@ -253,12 +264,6 @@ def case_propagation(lineitem, part):
     return graph.entity_cases(nodes, edges)
 
 
-@query("""SELECT 'p' || p_partkey AS id, p_name AS name FROM part UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier""")
-def union_entities(part, supplier):
-    nodes = part.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return nodes.unionByName(supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name")))
-
-
 @query("""SELECT l_suppkey::VARCHAR AS source_id, l_returnflag AS type, l_partkey::VARCHAR AS target_id, max(l_orderkey * 10 + l_linenumber)::VARCHAR AS seq FROM lineitem GROUP BY 1, 2, 3""")
 def graph_export_rows(lineitem, part, supplier):
     edges = lineitem.select(F.concat(F.lit("s"), "l_suppkey").alias("source_id"), F.col("l_returnflag").alias("type"), F.concat(F.lit("p"), "l_partkey").alias("target_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
@@ -268,7 +273,10 @@ def graph_export_rows(lineitem, part, supplier):
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in v.CAUSAL_EDGES) + ") AS e(source, target)")
 def dot_edges(spark):
-    return spark.createDataFrame(list(v.CAUSAL_EDGES), "source string, target string")
+    """The edges as a reader of the written graph finds them."""
+    text = spark.createDataFrame([(causal.dot_edges(),)], "dot string")
+    lines = text.select(F.explode(F.split("dot", ";\n")).alias("line")).where("line like '%->%'")
+    return lines.select(F.regexp_extract("line", '"([^"]*)" ->', 1).alias("source"), F.regexp_extract("line", '-> "([^"]*)"', 1).alias("target"))
 
 
 # --- resume ---
@@ -290,17 +298,16 @@ def progress_stats(documents, labels):
 
 @query("""WITH n AS (SELECT DISTINCT p_type AS label, p_name AS x FROM part), w AS (SELECT label, x, split_part(x, ' ', 1) AS c FROM n), c AS (SELECT DISTINCT label, c FROM w),
 s AS (SELECT n.label, n.x, c.c, CASE WHEN x = c.c THEN 1.0 WHEN contains(replace(x, ' ', ''), replace(c.c, ' ', '')) THEN length(replace(c.c, ' ', ''))::DOUBLE / length(replace(x, ' ', '')) END AS score FROM n JOIN c ON n.label = c.label)
-SELECT label, x AS mention, c AS candidate, round(score, 6) AS score FROM s WHERE score >= 0.4 QUALIFY row_number() OVER (PARTITION BY label, x ORDER BY score DESC, c) <= 2""")
+SELECT label, x AS mention, c AS candidate, round(score, 6) AS score FROM s WHERE score >= 0.61 QUALIFY row_number() OVER (PARTITION BY label, x ORDER BY score DESC, c) <= 2""")
 def candidate_topk(part):
-    names = part.select(F.col("p_type").alias("label"), F.col("p_name").alias("mention")).distinct()
-    candidates = names.select("label", F.split_part("mention", F.lit(" "), F.lit(1)).alias("candidate")).distinct()
-    a, b = F.replace("mention", F.lit(" "), F.lit("")), F.replace("candidate", F.lit(" "), F.lit(""))
-    # Only the plain branches: what is neither equal nor contained has no score here.
-    scored = names.join(candidates, "label").withColumn("score", fusion.plain_similarity(a, b)).where("score >= 0.4")
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("label", "mention").orderBy(F.desc("score"), "candidate"))
-    return scored.withColumn("rank", rank).where("rank <= 2").select("label", "mention", "candidate", F.round("score", 6).alias("score"))
+    """Whole names against the first words of names; other pairs than containing ones stay below the threshold on these words."""
+    names = part.select(F.col("p_type").alias("label"), F.col("p_name").alias("name")).distinct()
+    mentions = names.select(F.concat_ws("/", "label", "name").alias("mention_id"), "label", F.col("name").alias("norm"))
+    first = names.select("label", F.split_part("name", F.lit(" "), F.lit(1)).alias("norm")).distinct()
+    canonicals = first.select(F.concat_ws("/", "label", "norm").alias("canonical_id"), "label", "norm", F.array("norm").alias("names"), F.col("norm").alias("seq"))
+    found = fusion.recall(mentions, canonicals, Fusion(string_threshold=0.61, top_k=2))
+    label, mention = (F.split_part("mention_id", F.lit("/"), F.lit(k)) for k in (1, 2))
+    return found.select(label.alias("label"), mention.alias("mention"), F.split_part("canonical_id", F.lit("/"), F.lit(2)).alias("candidate"), F.round("string_score", 6).alias("score"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_tax = 0 THEN 'nil_no_candidate' WHEN l_discount * 10 >= 0.8 THEN 'matched' WHEN l_discount * 10 < 0.68 THEN 'nil_low_score' ELSE 'review_low_margin' END AS status FROM lineitem""")
@@ -309,14 +316,16 @@ def threshold_classify(lineitem):
 
 
 @query("""WITH c AS (SELECT label, embedding AS e FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),
-s AS (SELECT m.vec_id, c.label, CASE WHEN m.label = c.label THEN 0.9 ELSE 0.75 END AS s, round(list_cosine_similarity(m.embedding::DOUBLE[], c.e::DOUBLE[]), 6) AS z FROM embeddings m CROSS JOIN c)
-SELECT vec_id, label AS candidate, z AS vector_score, round(0.4 * s + 0.6 * z, 6) AS combined_score FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(0.4 * s + 0.6 * z, 6) DESC, label) = 1""")
+s AS (SELECT m.vec_id, c.label, CASE WHEN m.label = c.label THEN 0.9 ELSE 0.75 END AS s, list_cosine_similarity(m.embedding::DOUBLE[], c.e::DOUBLE[]) AS z FROM embeddings m CROSS JOIN c)
+SELECT vec_id, label AS candidate, round(z, 6) AS vector_score, round(0.4 * s + 0.6 * z, 6) AS combined_score FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY 0.4 * s + 0.6 * z DESC, label) = 1""")
 def cosine_rerank(embeddings):
-    heads = graph.first_wins(embeddings, ["label"], ["vec_id"]).select(F.col("label").alias("candidate"), F.col("embedding").alias("head"))  # one for each label
-    pairs = embeddings.crossJoin(F.broadcast(heads)).withColumns({"s": F.when(F.col("label") == F.col("candidate"), 0.9).otherwise(0.75), "vector_score": F.round(values.cosine(F.col("embedding"), F.col("head")), 6)})
-    scored = pairs.withColumn("combined_score", F.round(values.combined_score(F.col("s"), F.col("vector_score")), 6))
-    best = scored.groupBy("vec_id").agg(F.max(F.struct("combined_score", (-F.col("candidate")).alias("n"), "candidate", "vector_score")).alias("b"))
-    return best.select("vec_id", "b.candidate", "b.vector_score", "b.combined_score")
+    heads = graph.first_wins(embeddings, ["label"], ["vec_id"])  # one for each label
+    name = F.concat(F.lit("h"), "label")
+    vectors = embeddings.select(F.concat(F.lit("v"), "vec_id").alias("text"), "embedding").unionByName(heads.select(name.alias("text"), "embedding"))
+    pairs = embeddings.select("vec_id", "label").crossJoin(F.broadcast(heads.select(F.col("label").alias("candidate"), name.alias("name"))))
+    candidates = pairs.select(F.col("vec_id").alias("mention_id"), F.concat(F.lit("v"), "vec_id").alias("mention"), "name", F.when(F.col("label") == F.col("candidate"), 0.9).otherwise(0.75).alias("string_score"), F.col("candidate").alias("rank"))
+    best = fusion.rerank(candidates, vectors).where("best")
+    return best.select(F.col("mention_id").alias("vec_id"), F.col("rank").alias("candidate"), F.round("vector_score", 6).alias("vector_score"), F.round("combined_score", 6).alias("combined_score"))
 
 
 @query("""SELECT regexp_replace(p_name, '\\s+', '', 'g') AS normalized_name, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS labels FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1""".replace("\\\\", "\\"))
@@ -348,14 +357,29 @@ def fuse_entities_sets(part):
 # --- causal ---
 
 
+def order_graph(orders: DataFrame, lineitem: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and cases: an order's case has its return flags as unsafe actions, by edges from its accident node, and its line states as unsafe states, by edges of the case."""
+    none, key = F.array().cast("array<string>"), F.col("l_orderkey").cast("string")
+    known = F.concat(F.lit("AccidentCase:"), key)
+    names = lineitem.select(F.explode(F.array(F.struct(F.lit("UnsafeAction").alias("label"), F.col("l_returnflag").alias("name")), F.struct(F.lit("UnsafeObjectState").alias("label"), F.col("l_linestatus").alias("name")))).alias("x")).select("x.*").distinct()
+    factors = names.select(F.concat_ws(":", "label", "name").alias("id"), "label", "name", F.lit(None).cast("string").alias("case_id"), none.alias("source_cases"), F.ascii("name").cast("long").alias("seq"))
+    anchors = orders.select(F.concat(F.lit("AccidentCase:"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("AccidentCase").alias("label"), F.lit("order").alias("name"), F.lit(None).cast("string").alias("case_id"), F.array(F.col("o_orderkey").cast("string")).alias("source_cases"), F.col("o_orderkey").alias("seq"))
+    by_anchor = lineitem.select(known.alias("source_id"), F.lit("hasDirectCause").alias("type"), F.concat(F.lit("UnsafeAction:"), "l_returnflag").alias("target_id"), F.lit(None).cast("string").alias("case_id"), none.alias("source_cases"))
+    by_case = lineitem.select(F.lit("other").alias("source_id"), F.lit("leadTo").alias("type"), F.concat(F.lit("UnsafeObjectState:"), "l_linestatus").alias("target_id"), key.alias("case_id"), none.alias("source_cases"))
+    cases_of = orders.select(F.col("o_orderkey").cast("string").alias("case_id"), F.lit("t").alias("title"), F.lit("f").alias("source_file"), F.when(F.col("o_orderstatus") == "F", "死亡").otherwise("").alias("consequence_text"), F.lit("").alias("economic_loss_text"), F.lit("").alias("raw_text"))
+    return factors.unionByName(anchors), by_anchor.unionByName(by_case), cases_of
+
+
 def order_features(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    """(case_id, column, label): an order has a return flag or a ship status."""
-    flags = lineitem.select(F.col("l_orderkey").alias("case_id"), F.explode(F.array(F.struct(F.concat(F.lit("flag_"), "l_returnflag").alias("column"), F.lit("flag").alias("label")), F.struct(F.concat(F.lit("status_"), "l_linestatus").alias("column"), F.lit("status").alias("label")))).alias("x"))
-    return flags.select("case_id", "x.*").join(orders.select(F.col("o_orderkey").alias("case_id")), "case_id", "left_semi").distinct()
+    return causal.features_long(*order_graph(orders, lineitem))
+
 
+def column_sql(label: str, name: str) -> str:
+    return f"""'x_{v.FEATURE_LABELS[label]}_' || substr(md5('{label}::' || {name}), 1, 10)"""
 
-FEATURES_SQL = """WITH f AS (SELECT DISTINCT l_orderkey AS case_id, 'flag_' || l_returnflag AS "column", 'flag' AS label FROM lineitem JOIN orders ON o_orderkey = l_orderkey
-  UNION SELECT DISTINCT l_orderkey, 'status_' || l_linestatus, 'status' FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
+
+FEATURES_SQL = f"""WITH f AS (SELECT DISTINCT l_orderkey::VARCHAR AS case_id, {column_sql("UnsafeAction", "l_returnflag")} AS "column", 'UnsafeAction' AS label FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  UNION SELECT DISTINCT l_orderkey::VARCHAR, {column_sql("UnsafeObjectState", "l_linestatus")}, 'UnsafeObjectState' FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
 
 
 @query(f'{FEATURES_SQL} SELECT case_id, "column", label FROM f')
@@ -368,20 +392,29 @@ def layer_counts(orders, lineitem):
     return causal.layers_long(order_features(orders, lineitem))
 
 
-@query(f"""{FEATURES_SQL} SELECT case_id, max(("column" = 'flag_A')::INT) AS flag_A, max(("column" = 'flag_N')::INT) AS flag_N, max(("column" = 'flag_R')::INT) AS flag_R FROM f GROUP BY 1""")
+@query(f"""{FEATURES_SQL}, w AS (SELECT case_id, sum((label = 'UnsafeAction')::INT)::INT AS actions, sum((label = 'UnsafeObjectState')::INT)::INT AS states, max(("column" = {column_sql("UnsafeAction", "'A'")})::INT) AS flag_a, max(("column" = {column_sql("UnsafeAction", "'R'")})::INT) AS flag_r FROM f GROUP BY 1)
+SELECT o_orderkey::VARCHAR AS case_id, (o_orderstatus = 'F')::INT AS severe_consequence, (coalesce(actions, 0) > 0)::INT AS layer_action, coalesce(actions, 0) AS actions, coalesce(states, 0) AS states, coalesce(flag_a, 0) AS flag_a, coalesce(flag_r, 0) AS flag_r FROM orders LEFT JOIN w ON case_id = o_orderkey::VARCHAR""")
 def feature_pivot(orders, lineitem):
-    wide = order_features(orders, lineitem).groupBy("case_id").pivot("column", ["flag_A", "flag_N", "flag_R"]).agg(F.lit(1))
-    return wide.select("case_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("flag_A", "flag_N", "flag_R")))
+    nodes, edges, known = order_graph(orders, lineitem)
+    names = {n: "x_" + v.FEATURE_LABELS["UnsafeAction"] + "_" + hashlib.md5(f"UnsafeAction::{n}".encode()).hexdigest()[:10] for n in "AR"}
+    wide = causal.export_matrix(known, causal.outcomes(nodes, edges, known), causal.features_long(nodes, edges, known), list(names.values()))
+    return wide.select("case_id", "severe_consequence", F.col("layer_UnsafeAction").alias("layer_action"), F.col("count_UnsafeAction").alias("actions"), F.col("count_UnsafeObjectState").alias("states"), F.col(names["A"]).alias("flag_a"), F.col(names["R"]).alias("flag_r"))
 
 
 @query(f'{FEATURES_SQL} SELECT "column", count(DISTINCT case_id)::BIGINT AS support FROM f GROUP BY 1 ORDER BY support DESC, "column" LIMIT 3')
 def treatment_support_topk(spark, orders, lineitem):
     features = order_features(orders, lineitem)
     known = features.select("column", "label").distinct().withColumns({"is_layer_variable": F.lit(False), "seq": F.col("column")})
-    chosen = causal.treatments(known, causal.supports(features.select("case_id", "column"), 0), Causal(min_support=1, top_k=3), ("flag", "status"))
+    chosen = causal.treatments(known, causal.supports(features.select("case_id", "column"), 0), Causal(min_support=1, top_k=3), ("UnsafeAction", "UnsafeObjectState"))
     return chosen.select("column", "support")
 
 
+@query("""SELECT 'layer_' || label AS "column", label, true AS is_layer_variable FROM (VALUES """ + ", ".join(f"('{x}')" for x in v.FEATURE_LABELS) + f""") AS x(label)
+UNION ALL SELECT DISTINCT {column_sql("UnsafeAction", "l_returnflag")}, 'UnsafeAction', false FROM lineitem UNION ALL SELECT DISTINCT {column_sql("UnsafeObjectState", "l_linestatus")}, 'UnsafeObjectState', false FROM lineitem""")
+def variable_map(orders, lineitem):
+    return causal.variables(order_graph(orders, lineitem)[0]).select("column", "label", "is_layer_variable")
+
+
 VARIABLES = [("x_t", "UnsafeAction", False), ("x_m1", "SafetyManagementDefect", False), ("x_m2", "SafetyManagementDefect", True), ("x_u", "UnsafeAction", False), ("x_o", "UnsafeObjectState", False), ("x_a", "AccidentType", False), ("x_e", "EnvironmentCondition", False)]
 
 

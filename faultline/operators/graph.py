@@ -148,10 +148,17 @@ def edge_cases(edges: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def entity_cases(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(entity_id, case_id): an entity's own cases and those of its edges, one hop far."""
+    """(entity_id, case_id): an entity's own cases and those of its edges, one hop far. Only lists that hold something are exploded."""
     anchors = accident_cases(nodes)
-    own = nodes.where("coalesce(id, '') <> ''").select(F.col("id").alias("entity_id"), F.explode(case_ids(F.col("source_cases"), F.col("case_id"))).alias("case_id"))
-    through = edge_cases(edges, anchors).select(F.explode(F.array("source_id", "target_id")).alias("entity_id"), F.col("of_case").alias("case_id"))
+
+    def plain(df: DataFrame, *ends: str) -> DataFrame:
+        one = df.where("coalesce(case_id, '') <> ''").select(*ends, F.col("case_id").cast("string").alias("case_id"))
+        many = df.where("size(source_cases) > 0").select(*ends, F.explode("source_cases").alias("case_id")).where("coalesce(case_id, '') <> ''")
+        return one.unionByName(many)
+
+    known = plain(edges, "source_id", "target_id").unionByName(edges.select("source_id", "target_id").join(anchors.withColumnRenamed("id", "source_id"), "source_id"))
+    through = known.select(F.col("source_id").alias("entity_id"), "case_id").unionByName(known.select(F.col("target_id").alias("entity_id"), "case_id"))
+    own = plain(nodes.withColumnRenamed("id", "entity_id"), "entity_id")
     return own.unionByName(anchors.withColumnRenamed("id", "entity_id")).unionByName(through).where("coalesce(entity_id, '') <> ''").distinct()
 
 

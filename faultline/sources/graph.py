@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
@@ -68,7 +68,8 @@ def choose(spark: SparkSession, fused: tuple[str, str], raw: tuple[str, str], us
 def stored_form(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What a store holds after merging: the last row of each node id and of each (source, type, target), without edges that lack an end."""
     def last(df: DataFrame, *key: str) -> DataFrame:
-        return df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("seq")))).where("_r = 1").drop("_r")
+        rest = [c for c in df.columns if c not in key]
+        return df.groupBy(*key).agg(F.max_by(F.struct(*rest), "seq").alias("_last")).select(*(c if c in key else F.col("_last")[c].alias(c) for c in df.columns))
 
     nodes = last(nodes, "id")
     ids = nodes.select("id")
