@@ -471,34 +471,44 @@ def ols_effect_k(spark, lineitem):
     return spark.createDataFrame([(round(causal.linear_effect(design(lineitem), "t", "y", ["c1", "c2"]), 6),)], "effect double")
 
 
-def unit_sql(*parts: str) -> str:
-    return f"""(('0x' || substr(md5({" || '|' || ".join(f"({p})::VARCHAR" for p in parts)}), 1, 8))::BIGINT / 4294967296.0)"""
+CELLS = {"t": ["t"], "t|c": ["t", "c1", "c2"]}
 
 
-def poisson_sql(u: str) -> str:
-    import math
+@query(f"""WITH d AS ({DESIGN_SQL}) SELECT 't' AS design, t::BIGINT AS mask, y, count(*)::BIGINT AS n FROM d GROUP BY ALL
+UNION ALL SELECT 't|c', (t + 2 * c1 + 4 * c2)::BIGINT, y, count(*)::BIGINT FROM d GROUP BY ALL""")
+def design_cells(lineitem):
+    return causal.design_cells(design(lineitem), CELLS, "y")
 
-    total, steps = 0.0, []
-    for k in range(8):
-        total += math.exp(-1) / math.factorial(k)
-        steps.append(f"({u} >= {total!r})::INT")
-    return " + ".join(steps)
 
+def cells_of(lineitem: DataFrame, name: str) -> causal.Cells:
+    rows = causal.design_cells(design(lineitem), {name: CELLS[name]}, "y").collect()
+    return causal.Cells.of([(r["mask"], r.y, r.n) for r in rows], len(CELLS[name]))
 
-@query(f"""WITH d AS ({DESIGN_SQL}), r AS (SELECT d.*, b, {unit_sql("7", "b", "k")} AS u FROM d, range(1, 21) AS x(b)), w AS (SELECT *, {poisson_sql("u")} AS w FROM r),
-e AS (SELECT b, (sum(w * t * y) / sum(w) - sum(w * t) / sum(w) * sum(w * y) / sum(w)) / (sum(w * t * t) / sum(w) - pow(sum(w * t) / sum(w), 2)) AS effect FROM w WHERE w > 0 GROUP BY b)
-SELECT count(*)::BIGINT AS n, round(quantile_cont(effect::DOUBLE, 0.025), 6) AS low, round(quantile_cont(effect::DOUBLE, 0.975), 6) AS high, round(stddev_samp(effect), 6) AS se FROM e""")
+
+@query(f"SELECT round(regr_slope(y, t), 6) AS effect FROM ({DESIGN_SQL})")
+def cells_effect(spark, lineitem):
+    return spark.createDataFrame([(round(cells_of(lineitem, "t").effect(), 6),)], "effect double")
+
+
+@query()
 def bootstrap_ci(spark, lineitem):
-    b = causal.bootstrap(design(lineitem), "k", "t", "y", n=20, seed=7)
-    return spark.createDataFrame([(b["bootstrap_n"], round(b["ci95_low"], 6), round(b["ci95_high"], 6), round(b["bootstrap_se"], 6))], "n bigint, low double, high double, se double")
+    """500 replicates; random draws, so there is no SQL for it."""
+    b = cells_of(lineitem, "t|c").bootstrap(Causal().bootstrap_n, Causal().seed)
+    return spark.createDataFrame([(b["bootstrap_n"], b["ci95_low"], b["ci95_high"], b["bootstrap_se"], b["p_value_normal_approx"])], "n bigint, low double, high double, se double, p double")
 
 
-@query(f"""WITH d AS ({DESIGN_SQL}), s AS (SELECT avg(t) AS share FROM d), p AS (SELECT y, ({unit_sql("'placebo'", "2026", "k")} < share)::INT AS t FROM d, s) SELECT round(regr_slope(y, t), 6) AS effect FROM p""")
+def refuted(spark: SparkSession, refuter: str, estimate: float, found: list[float], expected: float) -> DataFrame:
+    r = causal.refutation(refuter, estimate, found, expected)
+    return spark.createDataFrame([(refuter, r["estimated_effect"], r["new_effect"], r["p_value"])], "refuter string, estimated_effect double, new_effect double, p_value double")
+
+
+@query()
 def placebo_refute(spark, lineitem):
-    return spark.createDataFrame([(round(causal.refute_placebo(design(lineitem), "k", "t", "y"), 6),)], "effect double")
+    cells = cells_of(lineitem, "t|c")
+    return refuted(spark, "placebo_treatment_refuter", cells.effect(), cells.placebo(Causal().refuter_n, Causal().seed), 0.0)
 
 
-@query(f"""WITH p AS (SELECT y, t, {unit_sql("'noise'", "2026", "k")} AS z FROM ({DESIGN_SQL})), m AS (SELECT covar_pop(t, t) AS tt, covar_pop(z, z) AS zz, covar_pop(t, z) AS tz, covar_pop(t, y) AS ty, covar_pop(z, y) AS zy FROM p)
-SELECT round((ty * zz - tz * zy) / (tt * zz - tz * tz), 6) AS effect FROM m""")
+@query()
 def random_cause_refute(spark, lineitem):
-    return spark.createDataFrame([(round(causal.refute_random_cause(design(lineitem), "k", "t", "y"), 6),)], "effect double")
+    cells = cells_of(lineitem, "t|c")
+    return refuted(spark, "random_common_cause", cells.effect(), cells.random_cause(Causal().refuter_n, Causal().seed), cells.effect())

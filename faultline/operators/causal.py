@@ -1,12 +1,15 @@
 """The case-by-factor matrix in long form, and effects from it: contingency tables, adjusted linear effects, bootstrap and refuters.
 
-The matrix stays long (case_id, column, value 1); it is pivoted for export alone. All moments of a treatment's design come
-from one aggregation; what reaches the driver has the size of the design (14 x 14), not of the data.
+The matrix stays long (case_id, column, value 1); it is pivoted for export alone. Designs are 0/1 columns, so the cells of all
+treatments' designs come from one aggregation, and effects, intervals and refuters are computed from the cells: rows drawn
+with replacement are a multinomial over them, permuted treatments a draw without replacement. No row is replicated.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -122,10 +125,13 @@ def common_causes(treatment: DataFrame, variables: DataFrame, support: DataFrame
 # --- tables and effects ---
 
 
+#: Name, treatment and outcome of the cells of a 2 x 2 table.
+TABLE_CELLS = (("treated_severe_n", 1, 1), ("treated_nonsevere_n", 1, 0), ("control_severe_n", 0, 1), ("control_nonsevere_n", 0, 0))
+
+
 def contingency(t: Column, y: Column) -> list[Column]:
     """Aggregates of the 2 x 2 table."""
-    cells = (("treated_severe_n", 1, 1), ("treated_nonsevere_n", 1, 0), ("control_severe_n", 0, 1), ("control_nonsevere_n", 0, 0))
-    return [F.count_if((t == a) & (y == b)).alias(n) for n, a, b in cells]
+    return [F.count_if((t == a) & (y == b)).alias(n) for n, a, b in TABLE_CELLS]
 
 
 def risk_summary(table: DataFrame) -> DataFrame:
@@ -149,12 +155,11 @@ def skip_reason(min_support: int) -> Column:
     )
 
 
-def moments(columns: Sequence[str], y: str, weight: str | None = None) -> list[Column]:
+def moments(columns: Sequence[str], y: str) -> list[Column]:
     """Aggregates of X'X and X'y with an intercept: one pass, combined before any shuffle."""
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
     x = [F.lit(1.0), *(F.col(c).cast("double") for c in columns)]
-    out = [F.sum(w * x[i] * x[j]).alias(f"xx_{i}_{j}") for i in range(len(x)) for j in range(i, len(x))]
-    return out + [F.sum(w * x[i] * F.col(y).cast("double")).alias(f"xy_{i}") for i in range(len(x))]
+    out = [F.sum(x[i] * x[j]).alias(f"xx_{i}_{j}") for i in range(len(x)) for j in range(i, len(x))]
+    return out + [F.sum(x[i] * F.col(y).cast("double")).alias(f"xy_{i}") for i in range(len(x))]
 
 
 def solve(row: dict, k: int) -> np.ndarray:
@@ -169,53 +174,96 @@ def linear_effect(wide: DataFrame, treatment: str, y: str, controls: Sequence[st
     return float(solve(wide.agg(*moments(columns, y)).first().asDict(), len(columns))[1])
 
 
-def unit_hash(*parts: Column) -> Column:
-    """A number in [0, 1) from md5, the same in every engine and partitioning."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
-
-
-def poisson_weight(u: Column, most: int = 8) -> Column:
-    """Poisson(1) by inversion of a unit number."""
-    import math
-
-    out, total = F.lit(0), 0.0
-    for k in range(most):
-        total += math.exp(-1) / math.factorial(k)
-        out = out + (u >= total).cast("int")
+def design_cells(wide: DataFrame, designs: Mapping[str, Sequence[str]], y: str) -> DataFrame:
+    """(design, mask, y, n): how many rows of a design have which of its 0/1 columns (bit k: the k-th) and which outcome.
+
+    One aggregation for all designs, combined before its shuffle; a design has 2 ** (columns + 1) rows at most.
+    """
+    def mask(columns: Sequence[str]) -> Column:
+        return functools.reduce(lambda m, kc: m.bitwiseOR(F.shiftleft(F.col(f"`{kc[1]}`").cast("bigint"), kc[0])), enumerate(columns), F.lit(0).cast("bigint"))
+
+    each = F.array(*(F.struct(F.lit(name).alias("design"), mask(columns).alias("mask")) for name, columns in designs.items()))
+    return wide.select(F.col(y).cast("int").alias("y"), F.explode(each).alias("d")).groupBy("d.design", "d.mask", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@dataclass
+class Cells:
+    """The cells of one design: its columns (the treatment first), outcome and number of rows of each. All that follows is computed from them."""
+
+    x: np.ndarray
+    y: np.ndarray
+    n: np.ndarray
+
+    @staticmethod
+    def of(rows: Sequence[tuple[int, int, int]], columns: int) -> Cells:
+        """From (mask, y, n), in any order."""
+        mask, y, n = (np.array(c, np.int64) for c in zip(*sorted(rows))) if rows else (np.zeros(0, np.int64),) * 3
+        return Cells((mask[:, None] >> np.arange(columns) & 1).astype(float), y.astype(float), n)
+
+    def table(self) -> dict[str, int]:
+        t = self.x[:, 0]
+        return {name: int(self.n[(t == a) & (self.y == b)].sum()) for name, a, b in TABLE_CELLS}
+
+    def effect(self, n: np.ndarray | None = None, x: np.ndarray | None = None) -> float:
+        """The treatment's least-squares coefficient (of smallest norm), with other numbers of rows or columns if given."""
+        n, x = self.n if n is None else n, self.x if x is None else x
+        full = np.column_stack([np.ones(len(x)), x])
+        return float((np.linalg.pinv(full.T @ (full * n[:, None]), rcond=1e-10, hermitian=True) @ (full.T @ (n * self.y)))[1])
+
+    def bootstrap(self, times: int, seed: int) -> dict:
+        """Percentile interval, standard error and normal p value; rows drawn with replacement fall into cells as a multinomial. Draws without variation are skipped."""
+        rng, found = np.random.default_rng(seed), []
+        for n in rng.multinomial(self.n.sum(), self.n / self.n.sum(), times):
+            held = n > 0
+            if len(set(self.x[held, 0])) == 2 == len(set(self.y[held])):
+                found.append(self.effect(n))
+        if not found:
+            return {"bootstrap_n": 0, "ci95_low": None, "ci95_high": None, "bootstrap_se": None, "p_value_normal_approx": None}
+        se = float(np.std(found, ddof=1)) if len(found) > 1 else 0.0
+        return {"bootstrap_n": len(found), "ci95_low": float(np.quantile(found, 0.025)), "ci95_high": float(np.quantile(found, 0.975)), "bootstrap_se": se, "p_value_normal_approx": two_sided_p(self.effect(), se)}
+
+    def random_cause(self, times: int, seed: int) -> list[float]:
+        """Effects with a normal covariate of no meaning: a cell of n rows needs its sum and its sum of squares alone."""
+        rng, k, out = np.random.default_rng(seed), self.x.shape[1] + 1, []
+        full = np.column_stack([np.ones(len(self.x)), self.x])
+        for _ in range(times):
+            total = rng.normal(0, np.sqrt(self.n))
+            squares = total**2 / self.n + rng.chisquare(np.maximum(self.n - 1, 1)) * (self.n > 1)
+            xx = np.zeros((k + 1, k + 1))
+            xx[:k, :k] = full.T @ (full * self.n[:, None])
+            xx[k, :k] = xx[:k, k] = full.T @ total
+            xx[k, k] = squares.sum()
+            xy = np.append(full.T @ (self.n * self.y), total @ self.y)
+            out.append(float((np.linalg.pinv(xx, rcond=1e-10, hermitian=True) @ xy)[1]))
+        return out
+
+    def placebo(self, times: int, seed: int) -> list[float]:
+        """Effects of permuted treatments: as many treated rows as before, dealt to the cells of controls and outcome without replacement."""
+        rng = np.random.default_rng(seed)
+        others, where = np.unique(np.column_stack([self.x[:, 1:], self.y]), axis=0, return_inverse=True)
+        rows = np.bincount(where.ravel(), self.n, len(others)).astype(np.int64)
+        treated = int(self.n[self.x[:, 0] == 1].sum())
+        dealt = Cells(np.column_stack([np.repeat([1.0, 0.0], len(others)), np.tile(others[:, :-1], (2, 1))]), np.tile(others[:, -1], 2), np.tile(rows, 2))
+        return [dealt.effect(np.concatenate([m, rows - m])) for m in (deal(rng, rows, treated) for _ in range(times))]
+
+
+def deal(rng: np.random.Generator, rows: np.ndarray, treated: int) -> np.ndarray:
+    """How many of ``treated`` rows each cell gets, drawn one cell after the other without replacement; beyond what the generator's hypergeometric takes, by the binomial that it then equals to a millionth."""
+    out, left, rest = np.zeros(len(rows), np.int64), int(rows.sum()), treated
+    for k, n in enumerate(rows.tolist()):
+        if left < 10**9:
+            out[k] = rng.hypergeometric(n, left - n, rest) if rest and n else 0
+        else:
+            out[k] = min(n, rest, max(rest - (left - n), rng.binomial(n, rest / left)))
+        left, rest = left - n, rest - int(out[k])
     return out
 
 
-def replicates(wide: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """Rows times bootstrap replicates with Poisson weights that depend on key, replicate and seed alone. n is a parameter of some hundreds."""
-    rep = wide.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    return rep.withColumn("weight", poisson_weight(unit_hash(F.lit(seed), F.col("replicate"), F.col(key)))).where("weight > 0")
-
-
-def bootstrap(wide: DataFrame, key: str, treatment: str, y: str, controls: Sequence[str] = (), n: int = 500, seed: int = 2026) -> dict:
-    """Percentile interval, standard error and normal p value; replicates without variation are skipped."""
-    columns = [treatment, *controls]
-    rows = replicates(wide.select(key, *dict.fromkeys([*columns, y])), key, n, seed).groupBy("replicate").agg(*moments(columns, y, "weight"), F.min(treatment).alias("t0"), F.max(treatment).alias("t1"), F.min(y).alias("y0"), F.max(y).alias("y1")).where("t0 < t1 and y0 < y1").collect()
-    found = np.array([solve(r.asDict(), len(columns))[1] for r in sorted(rows, key=lambda r: r.replicate)])
-    if not len(found):
-        return {"bootstrap_n": 0, "ci95_low": None, "ci95_high": None, "bootstrap_se": None, "p_value_normal_approx": None}
-    se = float(found.std(ddof=1)) if len(found) > 1 else 0.0
-    return {"bootstrap_n": len(found), "ci95_low": float(np.quantile(found, 0.025)), "ci95_high": float(np.quantile(found, 0.975)), "bootstrap_se": se, "p_value_normal_approx": two_sided_p(linear_effect(wide, treatment, y, controls), se)}
-
-
-def refute_random_cause(wide: DataFrame, key: str, treatment: str, y: str, controls: Sequence[str] = (), seed: int = 2026) -> float:
-    """The effect with a covariate from hashes added; it should hardly change."""
-    return linear_effect(wide.withColumn("_noise", unit_hash(F.lit("noise"), F.lit(seed), F.col(key))), treatment, y, [*controls, "_noise"])
-
-
-def placebo(wide: DataFrame, key: str, treatment: str, seed: int = 2026) -> DataFrame:
-    """``placebo``: the treatment dealt anew by a hash with its own share of rows, as a permutation does, but by row alone, so nothing is ranked or shuffled."""
-    share = wide.agg(F.avg(F.col(treatment).cast("double"))).first()[0] or 0.0
-    return wide.withColumn("placebo", (unit_hash(F.lit("placebo"), F.lit(seed), F.col(key)) < share).cast("int"))
-
-
-def refute_placebo(wide: DataFrame, key: str, treatment: str, y: str, controls: Sequence[str] = (), seed: int = 2026) -> float:
-    """The effect of a placebo; it should be near 0."""
-    return linear_effect(placebo(wide, key, treatment, seed), "placebo", y, controls)
+def refutation(refuter: str, estimate: float, found: Sequence[float], expected: float) -> dict:
+    """The mean of repeated effects, and the two-sided share of them beyond what is expected, ties by half."""
+    x = np.array(found)
+    above = float(np.mean((x > expected) + 0.5 * (x == expected)))
+    return {"refuter": refuter, "estimated_effect": estimate, "new_effect": float(x.mean()), "p_value": 2 * min(above, 1 - above)}
 
 
 def widen(cases: DataFrame, outcome: DataFrame, matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -225,39 +273,54 @@ def widen(cases: DataFrame, outcome: DataFrame, matrix: DataFrame, columns: Sequ
     return joined.select("case_id", *(F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in (OUTCOME, *columns)))
 
 
-def analyse(treatment: dict, cases: DataFrame, outcome: DataFrame, matrix: DataFrame, controls: Sequence[str], how: Causal = Causal()) -> dict:
+def analyse(treatment: dict, cells: Cells, controls: Sequence[str], how: Causal = Causal()) -> dict:
     """Table, adjusted effect, interval and refuters of one treatment; with a reason instead where it is skipped."""
-    column = treatment["column"]
-    wide = widen(cases, outcome, matrix, [column, *controls]).cache()
-    try:
-        row = risk_summary(wide.agg(*contingency(F.col(column), F.col(OUTCOME)))).withColumn("skip_reason", skip_reason(how.min_support)).first().asDict()
-        out = {"treatment": treatment["name"], "treatment_column": column, "treatment_label": treatment["label"], "is_layer_variable": treatment["is_layer_variable"], "outcome": OUTCOME, "common_causes": list(controls), "common_cause_count": len(controls), "support": row["treated_n"], "n": row["treated_n"] + row["control_n"], **row}
-        if row["skip_reason"]:
-            return out | {"run_success": False, "needs_review": True}
-        effect = linear_effect(wide, column, OUTCOME, controls)
-        refuted = [
-            {"refuter": "random_common_cause", "estimated_effect": effect, "new_effect": refute_random_cause(wide, "case_id", column, OUTCOME, controls, how.seed)},
-            {"refuter": "placebo_treatment_refuter", "estimated_effect": effect, "new_effect": refute_placebo(wide, "case_id", column, OUTCOME, controls, how.seed)},
-        ]
-        return out | {"effect_estimate": effect, "bootstrap": bootstrap(wide, "case_id", column, OUTCOME, controls, how.bootstrap_n, how.seed), "refutations": refuted, "run_success": True, "causal_quality_pass": bool(controls), "needs_review": not controls}
-    finally:
-        wide.unpersist()
+    row = cells.table()
+    s, c = row["treated_severe_n"] + row["treated_nonsevere_n"], row["control_severe_n"] + row["control_nonsevere_n"]
+    rates = [row[f"{k}_severe_n"] / n if n else None for k, n in (("treated", s), ("control", c))]
+    row |= {"treated_n": s, "control_n": c, "treated_severe_rate": rates[0], "control_severe_rate": rates[1], "unadjusted_risk_difference": None if None in rates else rates[0] - rates[1], "skip_reason": why_skipped(row, how.min_support)}
+    out = {"treatment": treatment["name"], "treatment_column": treatment["column"], "treatment_label": treatment["label"], "is_layer_variable": treatment["is_layer_variable"], "outcome": OUTCOME, "common_causes": list(controls), "common_cause_count": len(controls), "support": s, "n": s + c, **row}
+    if row["skip_reason"]:
+        return out | {"run_success": False, "needs_review": True}
+    effect = cells.effect()
+    refuted = [refutation("random_common_cause", effect, cells.random_cause(how.refuter_n, how.seed), effect), refutation("placebo_treatment_refuter", effect, cells.placebo(how.refuter_n, how.seed), 0.0)]
+    return out | {"effect_estimate": effect, "bootstrap": cells.bootstrap(how.bootstrap_n, how.seed), "refutations": refuted, "run_success": True, "causal_quality_pass": bool(controls), "needs_review": not controls}
+
+
+def why_skipped(table: Mapping[str, int], min_support: int) -> str:
+    """``skip_reason`` of one table."""
+    cells = [table[name] for name, _, _ in TABLE_CELLS]
+    treated, control, severe = sum(cells[:2]), sum(cells[2:]), cells[0] + cells[2]
+    rules = (
+        (treated < min_support, f"low_support:{treated}<min_support:{min_support}"),
+        (control < min_support, f"low_control_support:{control}<min_support:{min_support}"),
+        (not treated or not control, "treatment_has_no_variation"),
+        (severe in (0, treated + control), "outcome_has_no_variation"),
+        (0 in cells, f"separation_or_empty_cell:{cells}"),
+    )
+    return next((why for holds, why in rules if holds), "")
 
 
 def analyse_batch(nodes: DataFrame, edges: DataFrame, cases: DataFrame, how: Causal = Causal()) -> list[dict]:
-    """All treatments from one cached long matrix."""
+    """All treatments: their columns in one wide table of some dozens, their cells in one aggregation, the rest from the cells."""
     features = features_long(nodes, edges, cases)
-    matrix, outcome, known = matrix_long(features).cache(), outcomes(nodes, edges, cases).cache(), variables(nodes)
-    support = supports(matrix, cases.select("case_id").distinct().count())
-    chosen = treatments(known, support, how)
-    causes: dict[str, list[str]] = {}
-    for r in common_causes(chosen, known, support, how).orderBy("treatment_column", "rank").collect():
-        causes.setdefault(r.treatment_column, []).append(r["column"])
+    matrix, outcome, known = matrix_long(features).cache(), outcomes(nodes, edges, cases), variables(nodes)
     try:
-        return [analyse(t.asDict(), cases, outcome, matrix, causes.get(t["column"], []), how) for t in chosen.collect()]
+        support = supports(matrix, cases.select("case_id").distinct().count())
+        chosen = [t.asDict() for t in treatments(known, support, how).collect()]
+        causes: dict[str, list[str]] = {}
+        for r in common_causes(treatments(known, support, how), known, support, how).orderBy("treatment_column", "rank").collect():
+            causes.setdefault(r.treatment_column, []).append(r["column"])
+        if not chosen:
+            return []
+        designs = {t["column"]: [t["column"], *causes.get(t["column"], [])] for t in chosen}
+        wide = widen(cases, outcome, matrix, sorted({c for d in designs.values() for c in d}))
+        rows: dict[str, list[tuple[int, int, int]]] = {}
+        for r in design_cells(wide, designs, OUTCOME).collect():
+            rows.setdefault(r.design, []).append((r["mask"], r.y, r.n))
+        return [analyse(t, Cells.of(rows.get(t["column"], []), len(designs[t["column"]])), causes.get(t["column"], []), how) for t in chosen]
     finally:
         matrix.unpersist()
-        outcome.unpersist()
 
 
 # --- graphs and the report ---

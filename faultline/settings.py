@@ -47,6 +47,7 @@ class Causal:
     top_k: int = 24
     max_controls: int = 12
     bootstrap_n: int = 500
+    refuter_n: int = 100
     seed: int = 2026
 
 

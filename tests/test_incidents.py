@@ -143,11 +143,26 @@ def test_effects(spark):
     x = np.column_stack([np.ones(400), t, c, c])
     want = np.linalg.lstsq(x, y.astype(float), rcond=None)[0][1]
     assert abs(causal.linear_effect(wide, "t", "y", ["c", "c2"]) - want) < 1e-9  # collinear
-    boot = causal.bootstrap(wide, "case_id", "t", "y", ["c"], n=80)
-    assert boot["bootstrap_n"] == 80 and boot["ci95_low"] < want < boot["ci95_high"] and boot["p_value_normal_approx"] < 0.01
-    assert boot == causal.bootstrap(wide.repartition(5), "case_id", "t", "y", ["c"], n=80) or abs(boot["ci95_low"] - causal.bootstrap(wide.repartition(5), "case_id", "t", "y", ["c"], n=80)["ci95_low"]) < 1e-9
-    assert abs(causal.refute_random_cause(wide, "case_id", "t", "y", ["c"]) - want) < 0.02
-    assert abs(causal.refute_placebo(wide, "case_id", "t", "y", ["c"])) < 0.15
+    rows = causal.design_cells(wide.repartition(5), {"d": ["t", "c", "c2"], "e": ["t"]}, "y").collect()
+    cells = causal.Cells.of([(r["mask"], r.y, r.n) for r in rows if r.design == "d"], 3)
+    assert abs(cells.effect() - want) < 1e-9 and cells.n.sum() == 400
+    alone = causal.Cells.of([(r["mask"], r.y, r.n) for r in rows if r.design == "e"], 1)
+    assert alone.table() == {n: int(((t == a) & (y == b)).sum()) for n, a, b in causal.TABLE_CELLS}
+    # Rows drawn one by one, as the cells' draws stand for them.
+    drawn = [np.linalg.lstsq(x[i], y[i].astype(float), rcond=None)[0][1] for i in (rng.integers(0, 400, 400) for _ in range(400))]
+    boot = cells.bootstrap(400, 1)
+    assert boot["bootstrap_n"] == 400 and boot["ci95_low"] < want < boot["ci95_high"] and boot["p_value_normal_approx"] < 0.01
+    assert abs(boot["bootstrap_se"] / np.std(drawn, ddof=1) - 1) < 0.2 and boot == cells.bootstrap(400, 1)
+    dealt = [np.linalg.lstsq(np.column_stack([np.ones(400), rng.permutation(t), c]), y.astype(float), rcond=None)[0][1] for _ in range(400)]
+    placebo = cells.placebo(400, 2)
+    assert abs(np.mean(placebo)) < 0.02 and abs(np.std(placebo) / np.std(dealt) - 1) < 0.2
+    noisy = cells.random_cause(200, 3)
+    assert abs(np.mean(noisy) - want) < 0.01 and 0 < np.std(noisy) < 0.02
+    assert causal.refutation("r", want, placebo, 0.0)["p_value"] > 0.05 and causal.refutation("r", want, [1.0, 2.0], 0.0)["p_value"] == 0.0
+    many = causal.deal(rng, np.array([4 * 10**9, 10**9]), 10**9)
+    assert many.sum() == 10**9 and abs(many[0] / 10**9 - 0.8) < 0.001
+    for n, cell in enumerate(TABLES):
+        assert causal.why_skipped(dict(zip([c[0] for c in causal.TABLE_CELLS], cell)), 20) == cell[4], n
 
 
 def test_dot():
