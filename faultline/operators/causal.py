@@ -81,6 +81,12 @@ def export_matrix(cases: DataFrame, outcome: DataFrame, features: DataFrame, col
     return joined.select("case_id", "title", "source_file", zero(OUTCOME).alias(OUTCOME), *((zero(lb) > 0).cast("int").alias(f"layer_{lb}") for lb in labels), *(zero(lb).alias(f"count_{lb}") for lb in labels), *(zero(c).alias(c) for c in sorted(columns)))
 
 
+def long_form(wide: DataFrame) -> DataFrame:
+    """(case_id, column) of the ones in an exported matrix, feature and layer columns alone."""
+    columns = [c for c in wide.columns if c.startswith(("x_", "layer_"))]
+    return wide.select("case_id", F.explode(F.array_compact(F.array(*(F.when(F.col(f"`{c}`").cast("int") == 1, c) for c in columns)))).alias("column"))
+
+
 # --- choice of treatments and common causes ---
 
 

@@ -67,10 +67,26 @@ def score_pairs(pairs: DataFrame, left: str, right: str, name: str = "string_sco
 def recall(mentions: DataFrame, canonicals: DataFrame, how: Fusion = Fusion()) -> DataFrame:
     """Top candidates of each mention among canonical rows of its label: mention_id, canonical_id, string_score, rank.
 
-    mentions: mention_id, label, norm. canonicals: canonical_id, label, norm, names (array), seq. Pairs meet by label alone, as similarity does not block further.
+    mentions: mention_id, label, norm. canonicals: canonical_id, label, norm, names (array), seq. Distinct names meet, those of a label
+    whose lengths allow the threshold and that have characters enough in common: each part of a score (containment, ratio) is at most
+    twice the common characters over both lengths, so no candidate is lost. Scores then go back to the mentions.
     """
-    pairs = mentions.select("mention_id", "label", F.col("norm").alias("m")).join(canonicals.select("canonical_id", "label", F.col("norm").alias("c"), F.explode(F.array_distinct(F.concat(F.array("norm"), "names"))).alias("name"), "seq"), "label")
-    best = score_pairs(pairs.where("name <> ''"), "m", "name").groupBy("mention_id", "label", "m", "canonical_id", "c", "seq").agg(F.max("string_score").alias("string_score"))
+    def sized(df: DataFrame, c: str) -> DataFrame:
+        """With the length of the squeezed name and its characters, numbered so that a multiset is a set."""
+        squeezed = F.split(normalize_name(F.col(c), strip_suffixes=False), "")
+        numbered = F.transform(F.array_sort(squeezed), lambda x, k: x)
+        counted = F.transform(numbered, lambda x, k: F.concat(x, F.lit(" "), (k - F.array_position(numbered, x)).cast("string")))
+        return df.withColumns({f"{c}_set": counted, f"{c}_n": F.size(squeezed)})
+
+    left = sized(mentions.select("label", F.col("norm").alias("m")).distinct(), "m")
+    names = canonicals.select("canonical_id", "label", F.col("norm").alias("c"), F.explode(F.array_distinct(F.concat(F.array("norm"), "names"))).alias("name"), "seq").where("name <> ''")
+    right = sized(names.select("label", "name").distinct(), "name")
+    t = how.string_threshold
+    near = left.join(right, "label").where(f"2 * least(m_n, name_n) >= {t} * (m_n + name_n) or least(m_n, name_n) >= {t} * greatest(m_n, name_n) or m = name")
+    near = near.where(f"2 * size(array_intersect(m_set, name_set)) >= {t} * (m_n + name_n) or size(array_intersect(m_set, name_set)) >= {t} * greatest(m_n, name_n) or m = name")
+    scored = score_pairs(near.select("label", "m", "name"), "m", "name")
+    pairs = mentions.select("mention_id", "label", F.col("norm").alias("m")).join(scored, ["label", "m"]).join(names, ["label", "name"])
+    best = pairs.groupBy("mention_id", "label", "m", "canonical_id", "c", "seq").agg(F.max("string_score").alias("string_score"))
     rank = F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("string_score"), "seq"))
     return best.where((F.col("string_score") >= how.string_threshold) | (F.col("m") == F.col("c"))).withColumn("rank", rank).where(F.col("rank") <= how.top_k).select("mention_id", "canonical_id", "string_score", "rank")
 
@@ -177,7 +193,8 @@ def mention_names(entities: DataFrame) -> DataFrame:
 def fuse(entities: DataFrame, how: Fusion = Fusion(), vectors: DataFrame | None = None) -> DataFrame:
     """Alignment rows by the exact ordered fold, one group a label (one for all where types may mix).
 
-    A label's distinct names bound a task's work, since the fold depends on what came before; ``fuse_sets`` is the way without an order. Accident cases keep their own identity.
+    The fold depends on what came before, so all mentions of a label go through one task, in their order; scores are computed once for
+    each pair of distinct names. ``fuse_sets`` is the way without an order, for labels that one task can't hold. Accident cases keep their own identity.
     """
     rows = entities.select("id", _label(entities).alias("label"), "name", _norm_in(entities).alias("norm_in"), *(c for c in ("case_id", "source_cases") if c in entities.columns), "seq")
     case_key = F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in ("case_id",) if c in rows.columns), *(F.get("source_cases", F.lit(0)) for _ in range("source_cases" in rows.columns)), F.col("id"))
@@ -204,7 +221,7 @@ def fuse(entities: DataFrame, how: Fusion = Fusion(), vectors: DataFrame | None
 
 
 def fuse_sets(entities: DataFrame, how: Fusion = Fusion()) -> DataFrame:
-    """(source_entity_id, canonical_id) without an order: equal normalized names are one, names that share a rare enough pair of characters and score at the threshold are linked, links make components.
+    """(source_entity_id, canonical_id) without an order: equal normalized names are one, names that share a pair of characters and score at the threshold are linked, links make components.
 
     It approximates ``fuse``, whose result depends on order. Distinct names meet by label, pair of characters and similar length only.
     """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import traceback
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
@@ -129,9 +130,9 @@ def matrix(run: Run) -> None:
     nodes, edges = nodes.withColumn("case_id", nodes.source_cases[0]) if "case_id" not in nodes.columns else nodes, edges
     edges = edges.withColumn("case_id", edges.source_cases[0]) if "case_id" not in edges.columns else edges
     known = current_cases(run)
-    run.save(causal.features_long(nodes, edges, known), "features")
-    run.save(causal.outcomes(nodes, edges, known), "outcomes")
-    run.save(causal.variables(nodes), "variables")
+    features, outcome, names = run.save(causal.features_long(nodes, edges, known), "features"), run.save(causal.outcomes(nodes, edges, known), "outcomes"), run.save(causal.variables(nodes), "variables")
+    columns = [r["column"] for r in names.where("not is_layer_variable").select("column").collect()]  # the header of the wide file
+    export_csv(causal.export_matrix(known, outcome, features, columns), f"{run.root}/export/matrix")
 
 
 def effects(run: Run) -> None:
@@ -147,7 +148,7 @@ STAGES: tuple[Stage, ...] = (("clean", clean), ("anonymize", anonymize), ("extra
 
 
 def run_stages(run: Run, stages: Sequence[Stage] = STAGES) -> list[dict]:
-    """Runs stages in order and stops at the first failure; says after each step where it is."""
+    """Runs stages in order and stops at the first failure; says after each step where it is, and keeps a log of each step beside the progress file."""
     done: list[dict] = []
 
     def tell(status: str, current: str | None) -> None:
@@ -157,14 +158,20 @@ def run_stages(run: Run, stages: Sequence[Stage] = STAGES) -> list[dict]:
             left = average * (len(stages) - len(done))
             write_document(run.progress_path, {"status": status, "current": current, "completed": len(done), "total": len(stages), "percent": round(100 * len(done) / max(1, len(stages)), 2), "elapsed_hms": seconds_text(spent), "remaining_hms": seconds_text(left), "updated_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "steps": done})
 
+    def log(name: str, began: float, error: str | None) -> None:
+        if run.progress_path:
+            write_document(f"{run.progress_path}.logs/{len(done) + 1:02d}_{name}.json", {"step": name, "began_at": datetime.fromtimestamp(began, timezone.utc).isoformat(timespec="seconds"), "seconds": round(time.time() - began, 3), "status": "failed" if error else "completed", "error": error})
+
     for name, stage in stages:
         tell("running", name)
         began = time.time()
         try:
             stage(run)
         except Exception:
+            log(name, began, traceback.format_exc())
             tell("failed", name)
             raise
+        log(name, began, None)
         done.append({"name": name, "seconds": round(time.time() - began, 3)})
     tell("completed", None)
     return done

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import json
+import re
+import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
@@ -10,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
+from faultline.settings import GraphDatabase
 from faultline.sources.jsonl import exists
 
 
@@ -39,9 +44,20 @@ def export_rows(df: DataFrame) -> DataFrame:
     return df.select(*(cell(n) for n in sorted(df.columns)))
 
 
+BOM = "\ufeff"
+
+
 def export_csv(df: DataFrame, path: str) -> None:
-    """A folder of CSV parts with headers, in parallel."""
-    export_rows(df).write.mode("overwrite").option("header", "true").option("escape", '"').option("emptyValue", "").csv(path)
+    """A folder of CSV parts, in parallel; each begins with a byte order mark and has the header."""
+    rows = export_rows(df)
+    first = rows.columns[0]
+    rows.withColumnRenamed(first, BOM + first).write.mode("overwrite").option("header", "true").option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What ``export_csv`` or ``export_csv_file`` wrote, all columns as strings."""
+    rows = spark.read.option("header", "true").option("escape", '"').option("multiLine", "true").csv(path)
+    return rows.toDF(*(c.removeprefix(BOM) for c in rows.columns))
 
 
 def export_csv_file(df: DataFrame, path: str) -> int:
@@ -104,3 +120,56 @@ def write_graph(nodes: DataFrame, edges: DataFrame, connect: Callable[[], GraphS
 
 def check_graph(connect: Callable[[], GraphStore]) -> bool:
     return connect().ping()
+
+
+LABEL = re.compile(r"\w+")
+
+
+class HttpGraph:
+    """A property-graph database that takes Cypher statements over HTTP in one transaction a call; made in each task."""
+
+    def __init__(self, at: GraphDatabase, database: str = "neo4j", timeout: float = 60.0):
+        if not at.uri.startswith(("http://", "https://")):
+            raise RuntimeError("the graph database needs an http address")
+        self.address, self.timeout = f"{at.uri.rstrip('/')}/db/{database}/tx/commit", timeout
+        self.login = base64.b64encode(f"{at.user}:{at.password}".encode()).decode()
+
+    def _post(self, body: dict) -> dict:
+        request = urllib.request.Request(self.address, json.dumps(body, default=str).encode(), {"Content-Type": "application/json", "Accept": "application/json", "Authorization": f"Basic {self.login}"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            return json.load(answer)
+
+    def run(self, *statements: tuple[str, dict]) -> list:
+        answer = self._post({"statements": [{"statement": s, "parameters": p} for s, p in statements]})
+        if answer.get("errors"):
+            raise RuntimeError(f"the graph database refuses: {answer['errors'][0]}")
+        return answer.get("results", [])
+
+    def ping(self) -> bool:
+        try:
+            return bool(self.run(("RETURN 1 AS ok", {})))
+        except (OSError, ValueError, RuntimeError):
+            return False
+
+    def clear(self) -> None:
+        self.run(("MATCH (n:KGNode) DETACH DELETE n", {}))
+
+    def ensure_unique_id(self) -> None:
+        self.run(("CREATE CONSTRAINT kg_node_id IF NOT EXISTS FOR (n:KGNode) REQUIRE n.id IS UNIQUE", {}))
+
+    @staticmethod
+    def _by(rows: list[dict], key: str) -> dict[str, list[dict]]:
+        """Rows by a label or type, which Cypher takes as a name only."""
+        out: dict[str, list[dict]] = {}
+        for r in rows:
+            name = str(r.get(key) or "")
+            if not LABEL.fullmatch(name):
+                raise ValueError(f"{name!r} can't be a {key}")
+            out.setdefault(name, []).append({k: x.tolist() if hasattr(x, "tolist") else x for k, x in r.items()})
+        return out
+
+    def merge_nodes(self, rows: list[dict]) -> None:
+        self.run(*((f"UNWIND $rows AS r MERGE (n:KGNode {{id: r.id}}) SET n:`{name}`, n += r", {"rows": own}) for name, own in self._by(rows, "label").items()))
+
+    def merge_edges(self, rows: list[dict]) -> None:
+        self.run(*((f"UNWIND $rows AS r MATCH (a:KGNode {{id: r.source_id}}), (b:KGNode {{id: r.target_id}}) MERGE (a)-[e:`{name}`]->(b) SET e += r", {"rows": own}) for name, own in self._by(rows, "type").items()))

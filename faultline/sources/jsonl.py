@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 def write_document(path: str, body: dict | list) -> None:
     """A small report, map or cache as one file."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
         json.dump(body, f, ensure_ascii=False, indent=2)
 

@@ -10,7 +10,7 @@ from faultline import vocabulary as v
 from faultline.functions.text import first_evidence
 from faultline.operators import causal, cases, extraction, fusion, graph, privacy, votes
 from faultline.plans.pipeline import STAGES, Run, run_stages
-from faultline.settings import Causal, Extraction, Fusion, Settings, load_settings
+from faultline.settings import Causal, Extraction, Fusion, GraphDatabase, Settings, load_settings
 from faultline.sources import documents, jsonl
 from faultline.sources import graph as sinks
 from faultline.sources.ports import DryRun, HashEmbedder, HttpService, evidence_of
@@ -258,11 +258,43 @@ def test_graph_store(spark, tmp_path):
     edges = spark.createDataFrame([("a", "t", "b", 1), ("a", "t", "b", 2), ("a", "t", "gone", 3)], "source_id string, type string, target_id string, seq long")
     assert sinks.write_graph(nodes, edges, Memory, clear=True) == (2, 1) and sinks.check_graph(Memory)
     assert sinks.stored_form(nodes, edges)[0].where("id = 'a'").first().name == "y"
+    sinks.export_csv(nodes, f"{tmp_path}/parts")
+    assert all(p.read_bytes().startswith(b"\xef\xbb\xbf") for p in (tmp_path / "parts").glob("*.csv"))
+    assert sorted(tuple(r) for r in sinks.read_csv(spark, f"{tmp_path}/parts").select("id", "name").collect()) == [("a", "x"), ("a", "y"), ("b", "z")]
     assert sinks.export_csv_file(nodes, f"{tmp_path}/n.csv") == 3 and open(f"{tmp_path}/n.csv", "rb").read(3) == b"\xef\xbb\xbf"
     with pytest.raises(RuntimeError):
         HttpService(Settings().service)
 
 
+def test_http_graph(monkeypatch):
+    store, said = sinks.HttpGraph(GraphDatabase("http://x", "u", "p")), []
+    monkeypatch.setattr(store, "_post", lambda body: said.append(body) or {"results": [1], "errors": []})
+    store.ensure_unique_id()
+    store.clear()
+    store.merge_nodes([{"id": "a", "label": "UnsafeAction"}, {"id": "b", "label": "Consequence"}])
+    store.merge_edges([{"source_id": "a", "type": "leadTo", "target_id": "b"}])
+    assert store.ping() and len(said) == 5 and len(said[2]["statements"]) == 2 and said[3]["statements"][0]["parameters"] == {"rows": [{"source_id": "a", "type": "leadTo", "target_id": "b"}]}
+    with pytest.raises(ValueError):
+        store.merge_nodes([{"id": "a", "label": "x`) DETACH DELETE n //"}])
+    monkeypatch.setattr(store, "_post", lambda body: {"errors": [{"code": "no"}]})
+    assert not store.ping()
+    with pytest.raises(RuntimeError):
+        store.clear()
+    with pytest.raises(RuntimeError):
+        sinks.HttpGraph(GraphDatabase("bolt://x"))
+
+
+def test_recall_loses_no_candidate(spark):
+    import random
+
+    rnd = random.Random(9)
+    names = sorted({"".join(rnd.choice("未系安全带戴帽人员") for _ in range(rnd.randrange(1, 9))) for _ in range(70)})
+    df = spark.createDataFrame([(f"i{k}", "L", n, k) for k, n in enumerate(names)], "id string, label string, norm string, seq long")
+    got = fusion.recall(df.select(F.col("id").alias("mention_id"), "label", "norm"), df.select(F.col("id").alias("canonical_id"), "label", "norm", F.array("norm").alias("names"), "seq"), Fusion(top_k=1000))
+    want = {(f"i{a}", f"i{b}"): fusion.py_similarity(x, y) for a, x in enumerate(names) for b, y in enumerate(names)}
+    assert {(r.mention_id, r.canonical_id): round(r.string_score, 9) for r in got.collect()} == {k: round(s, 9) for k, s in want.items() if s >= 0.72}
+
+
 def test_matrix(spark):
     known = case_rows(spark, 3).withColumn("raw_text", F.when(F.col("seq") == 0, "死亡").otherwise("x"))
     nodes = spark.createDataFrame([("AccidentCase:HCA-0", "AccidentCase", "c", None, ["HCA-0"], 0), ("u1", "UnsafeAction", "未系安全带", None, [], 1), ("m1", "SafetyManagementDefect", "培训不足", "HCA-1", [], 2), ("q", "Consequence", "重伤", None, [], 3)], "id string, label string, name string, case_id string, source_cases array<string>, seq long")
@@ -275,6 +307,8 @@ def test_matrix(spark):
     columns = [r["column"] for r in names.where("not is_layer_variable").collect()]
     wide = causal.export_matrix(known, causal.outcomes(nodes, edges, known), causal.features_long(nodes, edges, known), columns)
     assert wide.columns[:4] == ["case_id", "title", "source_file", "severe_consequence"] and len(wide.columns) == 22 and wide.where("layer_UnsafeAction = 1").count() == 1
+    ones = {(r.case_id, r["column"]) for r in causal.long_form(wide).collect()}
+    assert ones == {(r.case_id, r["column"]) for r in causal.matrix_long(causal.features_long(nodes, edges, known)).collect()}
     assert causal.resolve_treatment("未系安全带", names)["entity_id"] == "u1"
     with pytest.raises(ValueError):
         causal.resolve_treatment("存在", names)
@@ -301,6 +335,10 @@ def test_whole_experiment(spark, tmp_path):
     run = Run(spark, Settings(extraction=Extraction(min_case_chars=1), causal=Causal(min_support=1, bootstrap_n=5)), f"{tmp_path}/out", [f"{tmp_path}/s.txt"], DryRun, progress_path=f"{tmp_path}/p.json")
     assert [s["name"] for s in run_stages(run)] == ["clean", "anonymize", "extract", "build", "fuse", "export", "matrix", "effects"]
     assert run.load("entities").count() == 2 + 6 and json.load(open(f"{tmp_path}/p.json"))["status"] == "completed"
+    assert len(list((tmp_path / "p.json.logs").glob("*.json"))) == 8 and sinks.read_csv(spark, f"{tmp_path}/out/export/matrix").count() == 2
+    with pytest.raises(ZeroDivisionError):
+        run_stages(run, [("bad", lambda r: 1 / 0)])
+    assert "ZeroDivisionError" in json.load(open(tmp_path / "p.json.logs" / "01_bad.json"))["error"]
     before = run.load("results").count()
     run_stages(run, [s for s in __import__("faultline.plans.pipeline", fromlist=["STAGES"]).STAGES if s[0] == "extract"])
     assert run.load("results").count() == before == 2
