@@ -7,7 +7,8 @@ table of the frequent pre-tokens' hashes in order, with their lengths and bytes,
 miss once for each worker's bounded cache.
 
 What is frequent is told by bounded summaries of all texts: each task counts its own pre-tokens and hands on its
-``table_size`` most frequent ones, which are summed up by a shuffle of those summaries. Texts and the pre-tokens that occur in them
+``table_size`` most frequent ones, which are summed up by a shuffle of those summaries; pre-tokens with less than one part in
+``8 * table_size`` of all are not ranked. Texts and the pre-tokens that occur in them
 are never shuffled. Pre-tokens of over ``LONGEST`` bytes are left out of summaries, table and cache and are encoded where they occur, so the table
 has ``table_size * (LONGEST + 20)`` bytes at most and a cache some 60 MB. The table only saves time; counts are those of the library, whatever
 it holds, unless two different pre-tokens of one slice (``slice_bytes``, or the longest text) have equal 64-bit hashes.
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import slices, span_hashes, text_column
+from faultline.llm.common import Scratch, slices, span_hashes, text_column
 
 LONGEST = 64
 _MARK = "▁".encode()
@@ -162,9 +163,14 @@ def frequent(docs: DataFrame, text: str, size: int, most: int = 200_000, slice_b
             best = top(size)
             yield pa.record_batch([pa.array([t for t, _ in best], pa.binary()), pa.array([n for _, n in best], pa.int64())], names=["token", "n"])
 
-    summaries = docs.select(text).mapInArrow(count, "token binary, n bigint")
-    best = summaries.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(size)
-    return [bytes(r.token) for r in best.collect()]
+    scratch = Scratch(docs.sparkSession, "tokens")
+    summaries = scratch.save(docs.select(text).mapInArrow(count, "token binary, n bigint"), "summaries")
+    total = summaries.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # At most 8 * size pre-tokens have that share of all, so what is ranked has a bound whatever the number of tasks.
+    best = summaries.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= total / (8 * size)).orderBy(F.desc("n"), "token").limit(size)
+    found = [bytes(r.token) for r in best.collect()]
+    scratch.drop("summaries")
+    return found
 
 
 def count_tokens(docs: DataFrame, model_path: str, *, id_column: str = "doc_id", text: str = "text", table_size: int = 16_384, slice_bytes: int = 4 << 20) -> DataFrame:
