@@ -4,6 +4,11 @@ Each stage takes all rows that the one before it kept, written as Parquet and re
 columns of ``documents``; the last returns each kept document's ids and digests. No stage is expressible in SQL as a
 whole (rules and machines are learned from the rows), so ``ORACLE_SQL`` is None and the tests hold the stages against
 brute-force versions.
+
+Null, empty and blank texts fail the base rules of the first stage. Null ids and null languages teach nothing; rows with a null id are judged
+by their text and are nobody's copy. Rows of one id stay or go together as near-duplicates and are judged by themselves elsewhere; repeated rows
+stay repeated. Ties go to the smallest id. Very long texts are taken whole. Further columns pass through the first four stages, whatever their names. An
+empty table, or a stage that keeps nothing, gives no rows.
 """
 
 from __future__ import annotations
