@@ -34,3 +34,20 @@ def test_stages_against_plain_versions(spark):
         ids = library.encode(held[r.doc_id], add_special_tokens=False).ids
         assert r.ids == ids and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(held[r.doc_id].encode()).hexdigest()
     assert bpe == clean and language_id and quality_rules
+
+
+def test_odd_rows_pass_through(spark):
+    """Nulls, repeated rows and ids, very long texts, columns with clashing names, and tables that run empty."""
+    docs = table(spark, DATA, "documents").limit(60)
+    kept = [r for r in quality_rules.keep(docs, []).collect() if r.lang]
+    long = " ".join(r.text for r in kept) * 30
+    odd = [(None, kept[0].text, "en"), (None, None, None), (900_001, "", "en"), (900_002, " \n", None), (900_003, long, kept[0].lang), (kept[1].doc_id, kept[1].text, kept[1].lang)]
+    more = spark.createDataFrame([(i, t, x, "s", 0) for i, t, x in odd], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    held = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(more).selectExpr("*", "1 as _id", "'x' as _text", "2 as node", "doc_id as mark", "'y' as kept", "0 as s")
+    for given in (held, held.limit(0)):
+        out, scratch = given, Scratch(spark, "odd")
+        for name, stage in corpus_pipeline.STAGES:
+            out = scratch.save(stage(spark, out, DATA), name)
+            assert name == "bpe" or out.columns == given.columns
+        ids = [r.doc_id for r in out.collect()]
+        assert not {900_001, 900_002} & set(ids) and (given is held) == bool(ids)
