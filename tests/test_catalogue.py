@@ -1,6 +1,6 @@
 import pytest
 
-from faultline import catalogue
+from faultline import catalogue, catalogue_cases  # noqa: F401
 from tests.oracle import connect, same
 
 DATA = "/root/testdata/sf0.001"
