@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from faultline import vocabulary as v
 from faultline.functions.text import feature_column, is_severe, layer_column, or_empty
 from faultline.functions.values import two_sided_p
-from faultline.operators.graph import accident_cases, edge_cases, entity_cases, first_wins
+from faultline.operators.graph import accident_cases, edge_cases, first_wins, memberships
 from faultline.settings import Causal
 
 OUTCOME = "severe_consequence"
@@ -40,11 +40,13 @@ def variables(nodes: DataFrame) -> DataFrame:
 
 
 def features_long(nodes: DataFrame, edges: DataFrame, cases: DataFrame) -> DataFrame:
-    """Distinct (case_id, column, label): a factor present in a known case, by the entity's cases or by an edge that points to it."""
-    anchors, known = accident_cases(nodes), _labelled(nodes)
-    own = known.select("id", "column", "label").join(entity_cases(nodes, edges).withColumnRenamed("entity_id", "id"), "id").select("case_id", "column", "label")
-    pointed = edge_cases(edges.where("type <> 'hasConsequence'"), anchors).select(F.col("target_id").alias("id"), F.col("of_case").alias("case_id")).join(known.select("id", "column", "label"), "id").select("case_id", "column", "label")
-    return own.unionByName(pointed).join(cases.select("case_id"), "case_id", "left_semi").distinct()
+    """Distinct (case_id, column, label): a factor present in a known case, by the entity's cases or those of its edges.
+
+    Memberships are cut down to factors and known cases before they are made distinct, once.
+    """
+    known = _labelled(nodes).select(F.col("id").alias("entity_id"), "column", "label")
+    present = memberships(nodes, edges).join(known, "entity_id").select("case_id", "column", "label")
+    return present.join(cases.select("case_id"), "case_id", "left_semi").distinct()
 
 
 def outcomes(nodes: DataFrame, edges: DataFrame, cases: DataFrame) -> DataFrame:

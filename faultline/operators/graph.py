@@ -147,8 +147,8 @@ def edge_cases(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     return own.withColumn("of_case", F.explode("_own")).unionByName(at_source).drop("_own")
 
 
-def entity_cases(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(entity_id, case_id): an entity's own cases and those of its edges, one hop far. Only lists that hold something are exploded."""
+def memberships(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(entity_id, case_id), not made distinct: an entity's own cases and those of its edges, one hop far. Only lists that hold something are exploded."""
     anchors = accident_cases(nodes)
 
     def plain(df: DataFrame, *ends: str) -> DataFrame:
@@ -159,7 +159,11 @@ def entity_cases(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     known = plain(edges, "source_id", "target_id").unionByName(edges.select("source_id", "target_id").join(anchors.withColumnRenamed("id", "source_id"), "source_id"))
     through = known.select(F.col("source_id").alias("entity_id"), "case_id").unionByName(known.select(F.col("target_id").alias("entity_id"), "case_id"))
     own = plain(nodes.withColumnRenamed("id", "entity_id"), "entity_id")
-    return own.unionByName(anchors.withColumnRenamed("id", "entity_id")).unionByName(through).where("coalesce(entity_id, '') <> ''").distinct()
+    return own.unionByName(anchors.withColumnRenamed("id", "entity_id")).unionByName(through).where("coalesce(entity_id, '') <> ''")
+
+
+def entity_cases(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return memberships(nodes, edges).distinct()
 
 
 def merge_entities(members: DataFrame) -> DataFrame:
