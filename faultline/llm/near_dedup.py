@@ -273,3 +273,15 @@ def deduplicate(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+#: The links of all pairs of distinct sets that share a shingle, and the least id that each set reaches.
+OP5_SQL = r"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM w),
+n AS MATERIALIZED (SELECT s, min(doc_id) AS node, len(s) AS k FROM s WHERE len(s) > 0 GROUP BY s),
+x AS MATERIALIZED (SELECT node, k, unnest(s) AS h FROM n),
+p AS (SELECT a.node AS a, b.node AS b FROM x a JOIN x b ON a.h = b.h AND a.node < b.node AND 100 * least(a.k, b.k) >= 85 * greatest(a.k, b.k) GROUP BY a.node, b.node, a.k, b.k HAVING 100 * count(*) >= 85 * (a.k + b.k - count(*))),
+e AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(node, root) AS (SELECT node, node FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE e.b >= r.root),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c.root, s.doc_id) AS component_id, s.doc_id = coalesce(c.root, s.doc_id) AS kept FROM s LEFT JOIN n ON n.s = s.s LEFT JOIN c ON c.node = n.node"""
