@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from faultline import vocabulary as v
-from faultline.functions.text import canonical_id, first_filled, normalize_name, stable_id
+from faultline.functions.text import canonical_id, first_filled, let, normalize_name, stable_id
 from faultline.functions.values import combined_score, cosine
 from faultline.operators.graph import merge_entities
 from faultline.settings import Fusion
@@ -64,31 +64,46 @@ def score_pairs(pairs: DataFrame, left: str, right: str, name: str = "string_sco
     return known.where(F.col(name).isNotNull()).unionByName(rest).drop("_l", "_r")
 
 
+def _characters(name: Column) -> Column:
+    """The characters of a squeezed name, numbered so that the multiset is a set."""
+    ordered = F.array_sort(F.split(normalize_name(name, strip_suffixes=False), ""))
+    return let(ordered, lambda x: F.transform(x, lambda y, k: F.concat(y, F.lit(" "), (k - F.array_position(x, y)).cast("string"))))
+
+
+def near_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(label, l, r): pairs of distinct names (label, l) and (label, r) that may score at the threshold; none that does is lost.
+
+    Every part of a score (containment, ratio) is at most twice the common characters over both lengths, so a name of n characters shares
+    ``threshold * n / (2 - threshold)`` of them at least with its partner, and both meet within the rarest of their characters that
+    are beyond that number (prefix filtering). Pairs that met are held against the bound itself.
+    """
+    sides = {c: df.select("label", c).distinct().withColumn("own", _characters(F.col(c))).select("label", c, F.size("own").alias("n"), F.explode("own").alias("x")) for c, df in (("l", left), ("r", right))}
+    rarity = sides["l"].select("label", "x").unionAll(sides["r"].select("label", "x")).groupBy("label", "x").agg(F.count(F.lit(1)).alias("held"))
+    least = F.ceil(threshold / (2 - threshold) * F.col("n") - 1e-9)
+
+    def first(c: str) -> DataFrame:
+        ranked = sides[c].join(rarity, ["label", "x"]).groupBy("label", c, "n").agg(F.sort_array(F.collect_list(F.struct("held", "x"))).alias("ranked"))
+        return ranked.select("label", c, F.col("n").alias(f"n_{c}"), F.explode(F.slice("ranked", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("s")).withColumn("x", F.col("s.x")).drop("s")
+
+    bound = f"{threshold} * (n_l + n_r) - 1e-9"
+    met = first("l").join(first("r"), ["label", "x"]).where(f"2 * least(n_l, n_r) >= {bound}").select("label", "l", "r", "n_l", "n_r").distinct()
+    common = F.size(F.array_intersect(_characters(F.col("l")), _characters(F.col("r"))))
+    return met.withColumn("common", common).where(f"2 * common >= {bound}").select("label", "l", "r")
+
+
 def recall(mentions: DataFrame, canonicals: DataFrame, how: Fusion = Fusion()) -> DataFrame:
     """Top candidates of each mention among canonical rows of its label: mention_id, canonical_id, string_score, rank.
 
-    mentions: mention_id, label, norm. canonicals: canonical_id, label, norm, names (array), seq. Distinct names meet, those of a label
-    whose lengths allow the threshold and that have characters enough in common: each part of a score (containment, ratio) is at most
-    twice the common characters over both lengths, so no candidate is lost. Scores then go back to the mentions.
+    mentions: mention_id, label, norm. canonicals: canonical_id, label, norm, names (array), seq. Distinct names meet (``near_names``), and
+    scores go back to the mentions.
     """
-    def sized(df: DataFrame, c: str) -> DataFrame:
-        """With the length of the squeezed name and its characters, numbered so that a multiset is a set."""
-        squeezed = F.split(normalize_name(F.col(c), strip_suffixes=False), "")
-        numbered = F.transform(F.array_sort(squeezed), lambda x, k: x)
-        counted = F.transform(numbered, lambda x, k: F.concat(x, F.lit(" "), (k - F.array_position(numbered, x)).cast("string")))
-        return df.withColumns({f"{c}_set": counted, f"{c}_n": F.size(squeezed)})
-
-    left = sized(mentions.select("label", F.col("norm").alias("m")).distinct(), "m")
-    names = canonicals.select("canonical_id", "label", F.col("norm").alias("c"), F.explode(F.array_distinct(F.concat(F.array("norm"), "names"))).alias("name"), "seq").where("name <> ''")
-    right = sized(names.select("label", "name").distinct(), "name")
-    t = how.string_threshold
-    near = left.join(right, "label").where(f"2 * least(m_n, name_n) >= {t} * (m_n + name_n) or least(m_n, name_n) >= {t} * greatest(m_n, name_n) or m = name")
-    near = near.where(f"2 * size(array_intersect(m_set, name_set)) >= {t} * (m_n + name_n) or size(array_intersect(m_set, name_set)) >= {t} * greatest(m_n, name_n) or m = name")
-    scored = score_pairs(near.select("label", "m", "name"), "m", "name")
-    pairs = mentions.select("mention_id", "label", F.col("norm").alias("m")).join(scored, ["label", "m"]).join(names, ["label", "name"])
-    best = pairs.groupBy("mention_id", "label", "m", "canonical_id", "c", "seq").agg(F.max("string_score").alias("string_score"))
+    names = canonicals.select("canonical_id", "label", F.col("norm").alias("c"), F.explode(F.array_distinct(F.concat(F.array("norm"), "names"))).alias("r"), "seq").where("r <> ''")
+    asked = mentions.select("mention_id", "label", F.col("norm").alias("l"))
+    scored = score_pairs(near_names(asked, names, how.string_threshold), "l", "r")
+    pairs = asked.join(scored, ["label", "l"]).join(names, ["label", "r"])
+    best = pairs.groupBy("mention_id", "label", "l", "canonical_id", "c", "seq").agg(F.max("string_score").alias("string_score"))
     rank = F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("string_score"), "seq"))
-    return best.where((F.col("string_score") >= how.string_threshold) | (F.col("m") == F.col("c"))).withColumn("rank", rank).where(F.col("rank") <= how.top_k).select("mention_id", "canonical_id", "string_score", "rank")
+    return best.where((F.col("string_score") >= how.string_threshold) | (F.col("l") == F.col("c"))).withColumn("rank", rank).where(F.col("rank") <= how.top_k).select("mention_id", "canonical_id", "string_score", "rank")
 
 
 def embed_missing(names: DataFrame, cache: DataFrame, connect, batch: int = 256) -> DataFrame:
@@ -221,21 +236,16 @@ def fuse(entities: DataFrame, how: Fusion = Fusion(), vectors: DataFrame | None
 
 
 def fuse_sets(entities: DataFrame, how: Fusion = Fusion()) -> DataFrame:
-    """(source_entity_id, canonical_id) without an order: equal normalized names are one, names that share a pair of characters and score at the threshold are linked, links make components.
+    """(source_entity_id, canonical_id) without an order: equal normalized names are one, names that score at the threshold are linked, links make components.
 
-    It approximates ``fuse``, whose result depends on order. Distinct names meet by label, pair of characters and similar length only.
+    It approximates ``fuse``, whose result depends on order. Which names meet is decided by ``near_names``.
     """
     scratch = Scratch(entities.sparkSession, "fuse")
     named = entities.select("id", "label", normalize_name(F.col("name"), F.col("label")).alias("norm"))
     names = scratch.save(named.select("label", "norm").where("norm <> ''").distinct(), "names")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("norm") - 1, F.lit(1))), lambda k: F.substring(F.col("norm"), k, F.lit(2)))
-    blocks = names.select("label", "norm", F.explode(F.array_distinct(grams)).alias("gram"), F.length("norm").alias("n"))
-    left, right = blocks.withColumnRenamed("norm", "l").withColumnRenamed("n", "ln"), blocks.withColumnRenamed("norm", "r").withColumnRenamed("n", "rn")
-    # A ratio of t needs 2 * min / (min + max) >= t, so lengths bound the pairs.
-    t = how.combined_threshold
-    pairs = left.join(right, ["label", "gram"]).where("l < r").where(f"2 * least(ln, rn) >= {t} * (ln + rn)").select("label", "l", "r").distinct()
+    pairs = near_names(names.withColumnRenamed("norm", "l"), names.withColumnRenamed("norm", "r"), how.combined_threshold).where("l < r")
     key = lambda c: F.concat("label", F.lit("\x1f"), c)
-    edges = score_pairs(pairs, "l", "r").where(F.col("string_score") >= t).select(key("l").alias("a"), key("r").alias("b"))
+    edges = score_pairs(pairs, "l", "r").where(F.col("string_score") >= how.combined_threshold).select(key("l").alias("a"), key("r").alias("b"))
     found = components(scratch, edges, "links")
     keyed = named.withColumn("node", key("norm")).join(found, "node", "left").withColumn("root", F.split(F.coalesce("component", "node"), "\x1f", 2)[1])
     return keyed.select(F.col("id").alias("source_entity_id"), canonical_id(F.col("label"), F.col("root")).alias("canonical_id"))

@@ -3,6 +3,7 @@ import urllib.error
 import zipfile
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -379,3 +380,15 @@ def test_settings(tmp_path):
     s = load_settings(tmp_path / "c.yaml", {"LLM_MODEL": "z", "NEO4J_URI": "bolt://x"})
     assert (s.fusion.nil_threshold, s.service.model, s.graph.uri, s.graph.password, s.service.base_url) == (0.5, "z", "bolt://x", "", "")
     assert s.path("a/b") == "./a/b" and s.path("/x") == "/x"
+
+
+def test_near_names_lose_no_pair(spark):
+    """All pairs of names that score at the threshold are met, for several thresholds, with repeated characters, other labels and an empty name."""
+    rng = np.random.default_rng(3)
+    names = sorted({"".join(rng.choice(list("abab漏水管c"), rng.integers(0, 9))) for _ in range(150)})
+    rows = [(label, x) for label in ("A", "B") for x in names]
+    for t in (0.6, 0.72, 0.8, 1.0):
+        left, right = (spark.createDataFrame(rows, f"label string, {c} string") for c in "lr")
+        met = {tuple(r) for r in fusion.near_names(left, right, t).collect()}
+        assert {(label, a, b) for label in ("A", "B") for a in names for b in names if fusion.py_similarity(a, b) >= t} <= met
+        assert len(met) < 2 * len(names) ** 2
