@@ -6,7 +6,8 @@ separates its languages. Both are trained on the driver from ``per_language`` la
 with the least hash of their id; over ``most_texts / per_language`` languages share ``most_texts``, with ``LEAST_TEXTS`` of
 each at least), and every language is learned. Prediction streams whole texts past the broadcast weights. Model and sample
 are bounded by the number of languages: machines by its square in a family, the sample by 16 KB a text. To choose the sample, labels
-are counted and ids with a hash under a bound drawn from the counts are shuffled, about twice as many as are taken.
+are counted and ids with a hash under a bound drawn from the counts are shuffled, about twice as many as are taken. The sample stays in
+half precision on the driver; machines of up to ``DIMENSIONS / 2`` sampled texts take their steps on the texts' inner products.
 
 ``score`` is the probability of the family times that of the language in it, each from its votes' mean margin. The winner
 of a set has hardly less than 0.5, whatever the text, so ``certain`` asks for a floor under the lesser of the two, learned by
@@ -55,6 +56,7 @@ FAMILIES = {
 OTHER = "other"
 LEAST_TEXTS = 20
 DIMENSIONS, GRAMS = 1 << 13, 4
+BLOCK = 128
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -77,23 +79,47 @@ def features(texts: list[str]) -> Iterator[np.ndarray]:
         yield np.sqrt(out / max(1.0, float(out.sum())))
 
 
-def hinge_machine(x: np.ndarray, y: np.ndarray, turns: int = 150, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Linear support vector machine (squared hinge, classes weighted alike) by accelerated gradient steps. y: 1 or -1. ``x`` may be kept in half precision."""
-    x = x.astype(np.float32, copy=False)
+def products(x: np.ndarray) -> np.ndarray:
+    """The inner products of all rows in single precision. ``x`` may be kept in half precision: ``BLOCK`` rows are converted at a time."""
+    out = np.empty((len(x), len(x)), np.float32)
+    for i in range(0, len(x), BLOCK):
+        a = x[i : i + BLOCK].astype(np.float32)
+        for j in range(i, len(x), BLOCK):
+            part = a @ (x[j : j + BLOCK].astype(np.float32).T if j > i else a.T)
+            out[i : i + BLOCK, j : j + BLOCK], out[j : j + BLOCK, i : i + BLOCK] = part, part.T
+    return out
+
+
+def hinge_machine(x: np.ndarray, y: np.ndarray, rows: np.ndarray, inner: np.ndarray | None = None, turns: int = 150, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Linear support vector machine (squared hinge, classes weighted alike) of some rows by accelerated gradient steps. y: 1 or -1 for each of them. ``x`` may be kept in half precision.
+
+    The weights are a sum of rows. With all rows' products ``inner`` the steps are taken on the rows' shares in it, and ``x`` is read once, in blocks.
+    """
+    if inner is None:
+        ahead = back = x[rows].astype(np.float32, copy=False)
+    else:
+        ahead, back = inner if len(rows) == len(x) else inner[np.ix_(rows, rows)], None
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
+    w, b = np.zeros(ahead.shape[1], np.float32), 0.0
     v, c = w.copy(), b
     step = 0.25  # rows have length 1, so the gradient's Lipschitz bound is 2 * (1 + 1)
     for t in range(turns):
-        slack = np.maximum(0, 1 - y * (x @ v + c))
+        slack = np.maximum(0, 1 - y * (ahead @ v + c))
         g = weight * slack * y
-        w2, b2 = v + step * (2 * (x.T @ g) - l2 * v), c + step * 2 * float(g.sum())
+        w2, b2 = v + step * (2 * (g if back is None else back.T @ g) - l2 * v), c + step * 2 * float(g.sum())
         momentum = t / (t + 3)
         v, c = w2 + momentum * (w2 - w), b2 + momentum * (b2 - b)
         w, b = w2, b2
+    if back is None:
+        w = sum((w[k : k + BLOCK] @ x[rows[k : k + BLOCK]].astype(np.float32) for k in range(0, len(rows), BLOCK)), np.zeros(x.shape[1], np.float32))
     return w, b
 
 
+def _inner(x: np.ndarray) -> np.ndarray | None:
+    """The rows' products if they take no more than the rows in half precision; else machines convert their rows."""
+    return products(x) if 2 * len(x) <= x.shape[1] else None
+
+
 @dataclass
 class Duels:
     """One-versus-one machines between names."""
@@ -104,13 +130,14 @@ class Duels:
     biases: np.ndarray | None = None
 
     @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray) -> Duels:
-        names = sorted(set(y.tolist()))
+    def fit(x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, inner: np.ndarray | None = None) -> Duels:
+        rows = np.arange(len(x)) if rows is None else rows
+        names = sorted(set(y[rows].tolist()))
         out = Duels(names, list(itertools.combinations(range(len(names)), 2)))
         fitted = []
         for a, b in out.pairs:
-            rows = (y == names[a]) | (y == names[b])
-            fitted.append(hinge_machine(x[rows], np.where(y[rows] == names[a], 1, -1).astype(np.float32)))
+            own = rows[(y[rows] == names[a]) | (y[rows] == names[b])]
+            fitted.append(hinge_machine(x, np.where(y[own] == names[a], 1, -1).astype(np.float32), own, inner))
         out.weights = np.array([w for w, _ in fitted], np.float32).reshape(len(fitted), x.shape[1])
         out.biases = np.array([b for _, b in fitted], np.float32)
         return out
@@ -136,11 +163,12 @@ class Model:
     floor: float | None = None
 
     @staticmethod
-    def fit(x: np.ndarray, languages: np.ndarray) -> Model:
-        if not len(x):
+    def fit(x: np.ndarray, languages: np.ndarray, rows: np.ndarray | None = None, inner: np.ndarray | None = None) -> Model:
+        rows = np.arange(len(x)) if rows is None else rows
+        if not len(rows):
             return Model(None, {})
         families = np.array([FAMILIES.get(v, OTHER) for v in languages.tolist()])
-        return Model(Duels.fit(x, families), {f: Duels.fit(x[families == f], languages[families == f]) for f in sorted(set(families.tolist()))})
+        return Model(Duels.fit(x, families, rows, inner), {f: Duels.fit(x, languages, rows[families[rows] == f], inner) for f in sorted(set(families[rows].tolist()))})
 
     def parts(self, x: np.ndarray) -> tuple[str, float, float]:
         """The language, the probability of its family and its own in the family."""
@@ -161,7 +189,7 @@ class Model:
         return min(self.parts(next(features([text])))[1:])
 
 
-def calibrate(x: np.ndarray, languages: np.ndarray) -> float:
+def calibrate(x: np.ndarray, languages: np.ndarray, inner: np.ndarray | None = None) -> float:
     """The probability at half the margin that 99 of 100 texts reach whose language is told rightly by a model of the other fold.
 
     Equal texts share a fold. 0 if no such text is there.
@@ -169,7 +197,7 @@ def calibrate(x: np.ndarray, languages: np.ndarray) -> float:
     fold = np.array([zlib.crc32(v.tobytes()) & 1 for v in x], np.int64)
     found = []
     for k in (0, 1):
-        own = Model.fit(x[fold == k], languages[fold == k])
+        own = Model.fit(x, languages, np.flatnonzero(fold == k), inner)
         if own.family is not None:
             said = ((languages[j], own.parts(x[j].astype(np.float32))) for j in np.flatnonzero(fold != k))
             found += [min(p, q) for truth, (name, p, q) in said if name == truth]
@@ -204,13 +232,19 @@ def train(docs: DataFrame, allowed: Column, *, id_column: str = "doc_id", text:
     kinds = ", ".join(f"{a} {docs.schema[b].dataType.simpleString()}" for a, b in (("_id", id_column), ("_lang", lang)))
     once = texts.mapInArrow(run, f"{kinds}, x binary").groupBy("_id", "_lang").agg(F.min("x").alias("x"))
     held = once.toArrow()
-    held = held.take(pc.sort_indices(held, [("_lang", "ascending"), ("_id", "ascending")])).combine_chunks()
-    column = held.column("x").combine_chunks()
-    x = np.frombuffer(b"" if not len(held) else column.buffers()[2], np.float16)[: len(held) * DIMENSIONS].reshape(len(held), DIMENSIONS)
-    languages = np.array(held.column("_lang").to_pylist(), object)
-    model = Model.fit(x, languages)
+    order = pc.sort_indices(held, [("_lang", "ascending"), ("_id", "ascending")]).to_numpy()
+    languages = np.array(held.column("_lang").to_pylist(), object)[order]
+    x, places, batches = np.empty((len(order), DIMENSIONS), np.float16), iter(np.argsort(order).tolist()), held.to_batches()[::-1]
+    del held  # each batch goes once its rows are copied
+    while batches:
+        for v in batches.pop().column("x"):
+            x[next(places)] = np.frombuffer(v.as_buffer(), np.float16)
+    v = None  # a value holds its batch
+    pa.default_memory_pool().release_unused()
+    inner = _inner(x)
+    model = Model.fit(x, languages, inner=inner)
     if calibrated:
-        model.floor = calibrate(x, languages)
+        model.floor = calibrate(x, languages, inner)
     return model
 
 

@@ -311,6 +311,29 @@ def test_machines_vote_as_written():
         assert name == best and abs(p - 1 / (1 + np.exp(-4 * sums[best] / 3))) < 1e-5
 
 
+def test_training_holds_its_sample_once():
+    """Machines on inner products equal those on whole rows, and no single-precision copy of the sample is made."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    languages = np.repeat(np.array(["de", "en", "es", "fr"], object), 400)
+    x = rng.random((1600, language_id.DIMENSIONS), np.float32) + np.repeat(np.eye(4, language_id.DIMENSIONS, dtype=np.float32) * 20, 400, axis=0)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float16)
+    y = np.where(np.arange(600) < 300, 1, -1).astype(np.float32)
+    (w, b), (w2, b2) = (language_id.hinge_machine(x, y, np.arange(600), *more) for more in ((), (language_id.products(x),)))
+    assert np.allclose(w, w2, atol=1e-3) and abs(b - b2) < 1e-3
+    tracemalloc.start()
+    inner = language_id._inner(x)
+    model = language_id.Model.fit(x, languages, inner=inner)
+    model.floor = language_id.calibrate(x, languages, inner)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.25 * x.nbytes and 0 < model.floor < 1
+    assert all(model.parts(x[k].astype(np.float32))[0] == languages[k] for k in range(0, 1600, 97))
+    plain = language_id.Model.fit(x, languages)
+    assert np.allclose(plain.family.weights, model.family.weights, atol=1e-3) and language_id._inner(np.zeros((7, 12))) is None
+
+
 def test_language_floor(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.train(docs, ~language_id.held_out("doc_id"), calibrated=True)
