@@ -71,6 +71,25 @@ def test_privacy(spark):
     assert [letters.name("person", str(k), "P") for k in range(28)][-3:] == ["PZ", "P27", "P28"]
 
 
+def test_patterns_run_on_what_they_need(monkeypatch):
+    """Texts without what a pattern needs are not searched, and no match is lost by that."""
+    steps = [s for s in privacy._STEPS if isinstance(s, privacy.Step)]
+    bits = [x for s in steps for x in s.needs] + list("张王李某、（男）第一3A在由，。 ab") + ["有限公司", "有限责任公司", "监理部", "集团公司", "水电站", "水电一局", "C2标", "张三分包队", "第一工程处", "死者张、李", "伤者张某，", "张三（男", "某某"]
+    rng = np.random.default_rng(3)
+    hits = [0] * len(steps)
+    for _ in range(4000):
+        text = "".join(rng.choice(bits, rng.integers(1, 12)))
+        for k, s in enumerate(steps):
+            found = s.pattern.search(text)
+            hits[k] += found is not None
+            assert found is None or any(x in found[0] or x in text for x in s.needs), (s.pattern.pattern, text)
+            assert s(privacy.Masker(), text) == s.pattern.sub(lambda m, s=s, masker=privacy.Masker(): s.stand_in(masker, m), text)
+    assert min(hits) > 0
+    for s in steps:
+        monkeypatch.setattr(s, "pattern", None)
+    assert privacy.Masker().text("Ein langer Text, déjà vu. " * 1000) == "Ein langer Text, déjà vu. " * 1000
+
+
 def test_votes(spark):
     rows = [("a", 0, "yes", 0.6), ("a", 1, "no", 0.9), ("a", 2, "是", 0.8), ("b", 0, "yes", 0.7), ("b", 1, "no", 0.7), ("c", 0, "no", 0.2), ("c", 1, "no", 0.4), ("c", 2, "maybe", 0.4)]
     df = spark.createDataFrame(rows, "k string, vote_idx int, answer string, confidence double")
