@@ -403,9 +403,10 @@ def feature_pivot(orders, lineitem):
 
 @query(f'{FEATURES_SQL} SELECT "column", count(DISTINCT case_id)::BIGINT AS support FROM f GROUP BY 1 ORDER BY support DESC, "column" LIMIT 3')
 def treatment_support_topk(spark, orders, lineitem):
-    features = order_features(orders, lineitem)
-    known = features.select("column", "label").distinct().withColumns({"is_layer_variable": F.lit(False), "seq": F.col("column")})
-    chosen = causal.treatments(known, causal.supports(features.select("case_id", "column"), 0), Causal(min_support=1, top_k=3), ("UnsafeAction", "UnsafeObjectState"))
+    nodes, edges, known_cases = order_graph(orders, lineitem)
+    known = causal.variables(nodes).where("not is_layer_variable").withColumn("seq", F.col("column"))
+    features = causal.features_long(nodes, edges, known_cases).select("case_id", "column")
+    chosen = causal.treatments(known, causal.supports(features, 0), Causal(min_support=1, top_k=3), ("UnsafeAction", "UnsafeObjectState"))
     return chosen.select("column", "support")
 
 

@@ -18,10 +18,14 @@ from pyspark.sql import functions as F
 from faultline import vocabulary as v
 from faultline.functions.text import feature_column, is_severe, layer_column, or_empty
 from faultline.functions.values import two_sided_p
-from faultline.operators.graph import accident_cases, edge_cases, first_wins, memberships
+from faultline.operators.graph import accident_cases, edge_cases, first_wins, memberships_of
 from faultline.settings import Causal
 
 OUTCOME = "severe_consequence"
+#: So many factor entities at most are gathered and broadcast (some MB).
+BROADCAST_FACTORS = 20_000
+#: So many columns at most are held as bits of a bigint.
+MASK_COLUMNS = 62
 
 
 # --- the matrix ---
@@ -42,11 +46,31 @@ def variables(nodes: DataFrame) -> DataFrame:
 def features_long(nodes: DataFrame, edges: DataFrame, cases: DataFrame) -> DataFrame:
     """Distinct (case_id, column, label): a factor present in a known case, by the entity's cases or those of its edges.
 
-    Memberships are cut down to factors and known cases before they are made distinct, once.
+    Memberships are those of factors alone, cut down to known cases; rows come out dealt by case. Up to ``BROADCAST_FACTORS`` factors are broadcast,
+    more meet by a shuffle; up to ``MASK_COLUMNS`` columns are bits of a number, so that rows of an accident node and of a case combine before their shuffles.
     """
-    known = _labelled(nodes).select(F.col("id").alias("entity_id"), "column", "label")
-    present = memberships(nodes, edges).join(known, "entity_id").select("case_id", "column", "label")
-    return present.join(cases.select("case_id"), "case_id", "left_semi").distinct()
+    known = _labelled(nodes).select(F.col("id").alias("entity_id"), "column", "label").where("entity_id <> ''").distinct()
+    few = known.limit(BROADCAST_FACTORS + 1).collect()
+    columns = sorted({(r["column"], r.label) for r in few})
+    if len(few) <= BROADCAST_FACTORS and len(columns) <= MASK_COLUMNS:
+        return _features_by_mask(nodes, edges, cases, [(r.entity_id, 1 << columns.index((r["column"], r.label))) for r in few], columns)
+    wanted = F.broadcast(known) if len(few) <= BROADCAST_FACTORS else known
+    # An inner join: a semi join would be pushed below the union and meet the cases once in each branch.
+    return memberships_of(nodes, edges, wanted).join(cases.select("case_id").distinct(), "case_id").select("case_id", "column", "label").distinct()
+
+
+def _features_by_mask(nodes: DataFrame, edges: DataFrame, cases: DataFrame, bits: Sequence[tuple[str, int]], columns: Sequence[tuple[str, str]]) -> DataFrame:
+    """``features_long`` with a bit for each of ``columns`` (column, label); one bit more says that a case is known."""
+    def united(rows: DataFrame, key: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.bit_or("mask").alias("mask"))
+
+    stands = F.lit(1 << MASK_COLUMNS).cast("bigint")
+    wanted = F.broadcast(nodes.sparkSession.createDataFrame(list(bits), "entity_id string, mask bigint"))
+    present = memberships_of(nodes, edges, wanted, lambda rows: united(rows, "source_id")).select("case_id", "mask")
+    rows = united(present.unionByName(cases.select("case_id", stands.alias("mask"))), "case_id").where(F.col("case_id").isNotNull() & (F.col("mask").bitwiseAND(stands) != 0))
+    each = [F.when(F.col("mask").bitwiseAND(F.lit(1 << k).cast("bigint")) != 0, F.struct(F.lit(c).alias("column"), F.lit(lb).alias("label"))) for k, (c, lb) in enumerate(columns)]
+    none = F.array().cast("array<struct<column:string,label:string>>")
+    return rows.select("case_id", F.explode(F.array_compact(F.array(*each)) if each else none).alias("x")).select("case_id", "x.column", "x.label")
 
 
 def outcomes(nodes: DataFrame, edges: DataFrame, cases: DataFrame) -> DataFrame:
@@ -93,8 +117,8 @@ def long_form(wide: DataFrame) -> DataFrame:
 
 
 def supports(matrix: DataFrame, n_cases: int) -> DataFrame:
-    """(column, support, n): for all columns in one aggregation."""
-    return matrix.groupBy("column").agg(F.count_distinct("case_id").alias("support")).withColumn("n", F.lit(n_cases).cast("bigint"))
+    """(column, support, n): for all columns of distinct (case_id, column) in one aggregation, combined before its shuffle."""
+    return matrix.groupBy("column").agg(F.count("case_id").alias("support")).withColumn("n", F.lit(n_cases).cast("bigint"))
 
 
 def usable(min_support: int) -> Column:

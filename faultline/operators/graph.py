@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,21 +147,36 @@ def edge_cases(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     return own.withColumn("of_case", F.explode("_own")).unionByName(at_source).drop("_own")
 
 
-def memberships(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(entity_id, case_id), not made distinct: an entity's own cases and those of its edges, one hop far. Only lists that hold something are exploded."""
-    anchors = accident_cases(nodes)
+def _plain_cases(df: DataFrame, *kept: str) -> DataFrame:
+    """(kept columns, case_id): the rows' own cases. Only lists that hold something are exploded."""
+    one = df.where("coalesce(case_id, '') <> ''").select(*kept, F.col("case_id").cast("string").alias("case_id"))
+    many = df.where("size(source_cases) > 0").select(*kept, F.explode("source_cases").alias("case_id")).where("coalesce(case_id, '') <> ''")
+    return one.unionByName(many)
 
-    def plain(df: DataFrame, *ends: str) -> DataFrame:
-        one = df.where("coalesce(case_id, '') <> ''").select(*ends, F.col("case_id").cast("string").alias("case_id"))
-        many = df.where("size(source_cases) > 0").select(*ends, F.explode("source_cases").alias("case_id")).where("coalesce(case_id, '') <> ''")
-        return one.unionByName(many)
 
-    known = plain(edges, "source_id", "target_id").unionByName(edges.select("source_id", "target_id").join(anchors.withColumnRenamed("id", "source_id"), "source_id"))
+def memberships(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(entity_id, case_id), not made distinct: an entity's own cases and those of its edges, one hop far."""
+    anchors = accident_cases(nodes)
+    known = _plain_cases(edges, "source_id", "target_id").unionByName(edges.select("source_id", "target_id").join(anchors.withColumnRenamed("id", "source_id"), "source_id"))
     through = known.select(F.col("source_id").alias("entity_id"), "case_id").unionByName(known.select(F.col("target_id").alias("entity_id"), "case_id"))
-    own = plain(nodes.withColumnRenamed("id", "entity_id"), "entity_id")
+    own = _plain_cases(nodes.withColumnRenamed("id", "entity_id"), "entity_id")
     return own.unionByName(anchors.withColumnRenamed("id", "entity_id")).unionByName(through).where("coalesce(entity_id, '') <> ''")
 
 
+def memberships_of(nodes: DataFrame, edges: DataFrame, wanted: DataFrame, merge: Callable[[DataFrame], DataFrame] = DataFrame.distinct) -> DataFrame:
+    """``memberships`` of the wanted entities (entity_id, ...) alone, with the other columns of ``wanted`` in place of the id.
+
+    Rows meet the wanted entities before anything else, and what goes to the accident nodes is merged: a source of many edges
+    that is no accident node stays a row or two in each task. ``merge`` makes rows (source_id, ...) distinct or fewer.
+    """
+    kept, wanted, anchors = [c for c in wanted.columns if c != "entity_id"], wanted.where("entity_id <> ''"), accident_cases(nodes)
+    met = edges.select("source_id", "case_id", "source_cases", F.explode(F.array("source_id", "target_id")).alias("entity_id")).join(wanted, "entity_id")
+    through = merge(met.select("source_id", *kept)).join(anchors.withColumnRenamed("id", "source_id"), "source_id").select(*kept, "case_id")
+    own = _plain_cases(nodes.select(F.col("id").alias("entity_id"), "case_id", "source_cases").join(wanted, "entity_id"), *kept)
+    themselves = anchors.withColumnRenamed("id", "entity_id").join(wanted, "entity_id").select(*kept, "case_id")
+    return own.unionByName(themselves).unionByName(_plain_cases(met, *kept)).unionByName(through)
+
+
 def entity_cases(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return memberships(nodes, edges).distinct()
 

@@ -335,6 +335,24 @@ def test_matrix(spark):
     assert "effect_estimate" in causal.markdown_report(causal.analyse_batch(nodes, edges, known, Causal(min_support=1, bootstrap_n=5)), Causal())
 
 
+def test_features_by_any_way_are_the_same(spark, monkeypatch):
+    """Bits, broadcast and shuffle give the features that the memberships of all entities give."""
+    rng = np.random.default_rng(5)
+    factors = [(f"u{k}", "UnsafeAction" if k % 2 else "EnvironmentCondition", f"n{k % 7}", f"c{k}" if k % 3 else None, [f"c{k + 1}", "", None], k) for k in range(12)] + [("", "UnsafeAction", "x", "c1", [], 50), ("AccidentCase:c2", "UnsafeAction", "both", None, [], 51)]
+    nodes = spark.createDataFrame(factors + [(f"AccidentCase:c{k}", "AccidentCase", "a", None, [f"c{k}", f"c{k + 30}"] if k % 2 else [], 100 + k) for k in range(30)], "id string, label string, name string, case_id string, source_cases array<string>, seq long")
+    ends = [f"u{k}" for k in range(12)] + [f"AccidentCase:c{k}" for k in range(32)] + ["", None, "other"]
+    edges = spark.createDataFrame([(ends[rng.integers(len(ends))], "leadTo", ends[rng.integers(len(ends))], f"c{rng.integers(50)}" if k % 2 else None, [f"c{rng.integers(50)}", ""] if k % 3 else [], k) for k in range(300)], "source_id string, type string, target_id string, case_id string, source_cases array<string>, seq long")
+    known = spark.createDataFrame([(f"c{k}",) for k in range(40)] + [("c1",), (None,)], "case_id string")
+    plain = graph.memberships(nodes, edges).join(causal._labelled(nodes).select(F.col("id").alias("entity_id"), "column", "label"), "entity_id").join(known, "case_id", "left_semi").select("case_id", "column", "label").distinct()
+    want = sorted(map(tuple, plain.collect()))
+    assert len(want) > 100
+    for few, bits in ((20_000, 62), (20_000, 3), (3, 3)):
+        monkeypatch.setattr(causal, "BROADCAST_FACTORS", few)
+        monkeypatch.setattr(causal, "MASK_COLUMNS", bits)
+        assert sorted(map(tuple, causal.features_long(nodes, edges, known).collect())) == want
+    assert not causal.features_long(nodes.where("label = 'AccidentCase'"), edges, known).collect()
+
+
 def test_resume(spark, tmp_path):
     work = spark.createDataFrame([(f"c{k}", k) for k in range(5)], "case_id string, seq long")
     done = spark.createDataFrame([("c0", 10.0), ("c1", 20.0), ("gone", 30.0)], "case_id string, elapsed_seconds double")
