@@ -98,11 +98,15 @@ def matrix_long(features: DataFrame) -> DataFrame:
 
 
 def export_matrix(cases: DataFrame, outcome: DataFrame, features: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The wide matrix: fixed columns, layers, counts and the given feature columns, each in alphabetic order; absent is 0."""
+    """The wide matrix: fixed columns, layers, counts and the given feature columns, each in alphabetic order; absent is 0.
+
+    Features (distinct) are read once: a row counts for its column and for its layer, and one pivot by case holds both.
+    """
     labels = sorted(v.FEATURE_LABELS)
-    layers = layers_long(features).groupBy("case_id").pivot("label", labels).agg(F.first("n"))
-    wide = features.groupBy("case_id").pivot("column", sorted(columns)).agg(F.lit(1)) if columns else features.select("case_id").distinct()
-    joined = cases.select("case_id", "title", "source_file").join(outcome, "case_id", "left").join(layers, "case_id", "left").join(wide, "case_id", "left")
+    held = features.where("column is not null").select("case_id", F.explode(F.array("column", F.concat(F.lit("n:"), "label"))).alias("key"))
+    wide = held.groupBy("case_id").pivot("key", [*(f"n:{lb}" for lb in labels), *sorted(columns)]).agg(F.count(F.lit(1)))
+    wide = wide.select("case_id", *(F.col(f"`n:{lb}`").alias(lb) for lb in labels), *(F.col(f"`{c}`") for c in sorted(columns)))
+    joined = cases.select("case_id", "title", "source_file").join(outcome, "case_id", "left").join(wide, "case_id", "left")
     zero = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("int")
     return joined.select("case_id", "title", "source_file", zero(OUTCOME).alias(OUTCOME), *((zero(lb) > 0).cast("int").alias(f"layer_{lb}") for lb in labels), *(zero(lb).alias(f"count_{lb}") for lb in labels), *(zero(c).alias(c) for c in sorted(columns)))
 

@@ -353,6 +353,19 @@ def test_features_by_any_way_are_the_same(spark, monkeypatch):
     assert not causal.features_long(nodes.where("label = 'AccidentCase'"), edges, known).collect()
 
 
+def test_supports_and_matrix_read_features_once(spark):
+    rows = [(f"c{k % 9}", f"x_ua_{k % 4}", "UnsafeAction") for k in range(36)] + [("c1", "x_uos_1", "UnsafeObjectState")]
+    features = spark.createDataFrame(rows, "case_id string, column string, label string").distinct()
+    plan = causal.supports(features.select("case_id", "column"), 9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan and {tuple(r) for r in causal.supports(causal.matrix_long(features), 9).collect()} >= {("x_uos_1", 1, 9), ("layer_UnsafeAction", 9, 9)}
+    cases_of, outcome = (spark.createDataFrame([(f"c{k}", "t", "f") for k in range(11)], "case_id string, title string, source_file string"), spark.createDataFrame([("c0", 1)], "case_id string, severe_consequence int"))
+    wide = causal.export_matrix(cases_of, outcome, features, ["x_ua_1", "x_uos_1"])
+    got = {r.case_id: (r.severe_consequence, r.layer_UnsafeAction, r.count_UnsafeAction, r.count_UnsafeObjectState, r.x_ua_1, r.x_uos_1) for r in wide.collect()}
+    by_case = {c: {x[1] for x in rows if x[0] == c} for c in got}
+    assert got == {c: (int(c == "c0"), int(any("_ua_" in x for x in xs)), sum("_ua_" in x for x in xs), int("x_uos_1" in xs), int("x_ua_1" in xs), int("x_uos_1" in xs)) for c, xs in by_case.items()}
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
 def test_resume(spark, tmp_path):
     work = spark.createDataFrame([(f"c{k}", k) for k in range(5)], "case_id string, seq long")
     done = spark.createDataFrame([("c0", 10.0), ("c1", 20.0), ("gone", 30.0)], "case_id string, elapsed_seconds double")
