@@ -94,7 +94,7 @@ def layers_long(features: DataFrame) -> DataFrame:
 
 def matrix_long(features: DataFrame) -> DataFrame:
     """Distinct (case_id, column) of features and layers."""
-    return features.select("case_id", "column").unionByName(features.select("case_id", layer_column(F.col("label")).alias("column"))).distinct()
+    return features.select("case_id", F.explode(F.array("column", layer_column(F.col("label")))).alias("column")).distinct()
 
 
 def export_matrix(cases: DataFrame, outcome: DataFrame, features: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -340,9 +340,10 @@ def why_skipped(table: Mapping[str, int], min_support: int) -> str:
 def analyse_batch(nodes: DataFrame, edges: DataFrame, cases: DataFrame, how: Causal = Causal()) -> list[dict]:
     """All treatments: their columns in one wide table of some dozens, their cells in one aggregation, the rest from the cells."""
     features = features_long(nodes, edges, cases)
-    matrix, outcome, known = matrix_long(features).cache(), outcomes(nodes, edges, cases), variables(nodes)
+    # Supports and variables are a row a column, and are read several times.
+    matrix, outcome, known = matrix_long(features).cache(), outcomes(nodes, edges, cases), variables(nodes).cache()
+    support = supports(matrix, cases.select("case_id").distinct().count()).cache()
     try:
-        support = supports(matrix, cases.select("case_id").distinct().count())
         chosen = [t.asDict() for t in treatments(known, support, how).collect()]
         causes: dict[str, list[str]] = {}
         for r in common_causes(treatments(known, support, how), known, support, how).orderBy("treatment_column", "rank").collect():
@@ -356,7 +357,8 @@ def analyse_batch(nodes: DataFrame, edges: DataFrame, cases: DataFrame, how: Cau
             rows.setdefault(r.design, []).append((r["mask"], r.y, r.n))
         return [analyse(t, Cells.of(rows.get(t["column"], []), len(designs[t["column"]])), causes.get(t["column"], []), how) for t in chosen]
     finally:
-        matrix.unpersist()
+        for held in (support, known, matrix):
+            held.unpersist()
 
 
 # --- graphs and the report ---
